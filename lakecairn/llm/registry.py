@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakecairn.llm import langid
+from lakecairn.llm import bpe, langid
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous", "lang_second")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_bpe": op2_bpe,
 }
 
 ORACLES: dict[str, str] = {}

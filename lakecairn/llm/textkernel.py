@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once, unless one document is longer.
 MAX_BYTES = 1 << 20
@@ -65,7 +66,7 @@ def slices(col: pa.Array, max_bytes: int = MAX_BYTES) -> Iterator[tuple[int, int
     if not n:
         return
     if col.null_count:
-        col = pa.compute.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
+        col = pc.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     _, offs, data = col.buffers()
     off = np.frombuffer(offs, width)[col.offset : col.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
