@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakecairn.llm import bpe, langid
+from lakecairn.llm import bpe, langid, quality, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +22,66 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.verdicts(_documents(spark, sf_dir), rules.POLICIES["web", 1])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.filter(~langid.held_out()))
+    out = quality.score(docs, model).withColumn("held_out", langid.held_out())
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": r"""
+with t as (
+    select doc_id, coalesce(text, '') as text from documents
+), w as (
+    select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    from t
+), three as (
+    select doc_id, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3
+), seen as (
+    select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as n from three
+), covered as (
+    select doc_id, count(distinct i + k) as n_repeat_words
+    from seen, (values (0), (1), (2)) as o(k) where n > 1 group by doc_id
+), m as (
+    select w.doc_id, len(words)::bigint as n_words,
+        coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+        len(lines) as n_lines,
+        length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_upper,
+        length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) as n_letters,
+        coalesce(list_max(list_transform(words, lambda x: length(x))), 0) as longest_word
+    from w left join covered on w.doc_id = covered.doc_id
+), bits as (
+    select *,
+        (case when n_words < 50 then 1 else 0 end)
+        + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
+        + (case when 100 * n_symbols > 10 * word_chars then 4 else 0 end)
+        + (case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end)
+        + (case when 100 * n_upper > 50 * n_letters then 16 else 0 end)
+        + (case when 100 * n_letters < 50 * word_chars then 32 else 0 end)
+        + (case when word_chars < 2 * n_words or word_chars > 20 * n_words then 64 else 0 end)
+        + (case when longest_word > 1000 then 128 else 0 end) as failed
+    from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    failed & 3 <> 0 as base_failed, failed & 23 = 0 as kept, failed::bigint as failed
+from bits
+""",
+}
