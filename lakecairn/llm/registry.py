@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakecairn.llm import bpe, langid, quality, rules
+from lakecairn.llm import bpe, extract, langid, quality, rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_html_extraction": op7_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
