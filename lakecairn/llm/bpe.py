@@ -23,7 +23,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,9 @@ from pyspark.sql import functions as F
 from lakecairn.llm import textkernel as K
 
 #: Words kept between slices.
-CACHE = 100_000
+CACHE = 400_000
+#: Marks the hash of a token that ends a word.
+_END = np.uint64(0xA5A5A5A5DEADBEEF)
 
 
 def _byte_letters() -> list[str]:
@@ -57,10 +58,19 @@ class Tokenizer:
         self.text_of = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
-        self.gaps = regex.compile(r"\s+").sub
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.letters = _byte_letters()
-        self.longest = max(map(len, self.vocab))
+        byte_of = {c: b for b, c in enumerate(self.letters)}
+        plain = [(s.removesuffix(self.suffix), s.endswith(self.suffix), i) for s, i in self.vocab.items()] if self.suffix else [(s, False, i) for s, i in self.vocab.items()]
+        spelt = [(bytes([byte_of[c] for c in s]), end, i) for s, end, i in plain if s and all(c in byte_of for c in s)]
+        size = np.array([len(s) for s, *_ in spelt])
+        stop = np.cumsum(size)
+        flat = np.frombuffer(b"".join(s for s, *_ in spelt), np.uint8)
+        key = K.span_hash(K.prefix_hash(flat), stop - size, stop) ^ np.array([_END if end else 0 for _, end, _ in spelt], np.uint64)
+        self.tokens = K.HashIndex(key, np.array([i for *_, i in spelt]))
+        #: Longest token that starts with two given bytes.
+        self.reach = np.ones(1 << 16, np.int64)
+        np.maximum.at(self.reach, flat[stop - size] * np.int64(256) + np.append(flat, 0)[np.where(size > 1, stop - size + 1, len(flat))], size)
 
         merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         n = max(self.vocab.values()) + 1
@@ -72,8 +82,8 @@ class Tokenizer:
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.left[made], self.right[made] = left, right
         pair = left * n + right
-        order = np.argsort(pair)
-        self.pairs, self.pair_rank = pair[order], order
+        self.pairs = K.HashIndex(K.mix(pair.astype(np.uint64)), np.arange(len(merges)))
+        self.made = made
         self.merge = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(left, right, made))}
         whole = made[~self.crossed(left, right, self.rank[made], self.rank[made])]
         sound = np.zeros(n, bool)
@@ -84,6 +94,8 @@ class Tokenizer:
             z = made[r]
             sound[z] = kept[z] and sound[left[r]] and sound[right[r]]
         self.sound = sound
+        #: Ids of single bytes, inside a word and at its end.
+        self.single = [np.array([self.vocab[c + tail] for c in self.letters], np.int64) for tail in ("", self.suffix)]
 
     def crossed(self, x: np.ndarray, y: np.ndarray, x_until: np.ndarray | int, y_until: np.ndarray | int) -> np.ndarray:
         """Whether merging by rank would join something across the border of x and y first.
@@ -99,9 +111,8 @@ class Tokenizer:
         live = np.arange(len(x))
         while len(live):
             a, b = x[live], y[live]
-            key = a * self.n + b
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            r = np.where(self.pairs[at] == key, self.pair_rank[at], never)
+            r = self.pair_rank(a, b)
+            r[r < 0] = never
             hit = (r < until_x[live]) & (r <= until_y[live]) & (r < never)
             out[live[hit]] = True
             ra, rb = self.rank[a], self.rank[b]
@@ -115,19 +126,66 @@ class Tokenizer:
             x[j] = self.right[x[j]]
         return out
 
-    def propose(self, letters: str) -> list[int]:
-        """Greedy longest match; letters end with the suffix of the last one."""
-        vocab, n, i, out = self.vocab, len(letters), 0, []
-        body = n - len(self.suffix)
-        while i < n:
-            j = min(n, i + self.longest)
-            while True:
-                if (j < body or j == n) and (t := vocab.get(letters[i:j])) is not None:
-                    break
-                j -= 1
-            out.append(t)
-            i = j
-        return out
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.pairs.get(K.mix((a * self.n + b).astype(np.uint64)))
+
+    def propose(self, buf: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match over words that end at ``end``: token ids, and where they start."""
+        n = len(buf)
+        start = np.concatenate([[0], end[:-1]])
+        left = np.repeat(end, end - start) - np.arange(n)
+        sums = K.prefix_hash(buf)
+        reach = self.reach[buf * np.int64(256) + np.append(buf[1:], 0)]
+        reach[left == 1] = 1
+        reach = np.minimum(reach, left)
+        best, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at = np.arange(n)
+        for k in range(1, int(reach.max(initial=0)) + 1):
+            at = at[reach[at] >= k]
+            key = K.span_hash(sums, at, at + k) ^ np.where(left[at] == k, _END, np.uint64(0))
+            found = self.tokens.get(key)
+            hit = found >= 0
+            best[at[hit]], size[at[hit]] = found[hit], k
+        used = np.zeros(n, bool)
+        at = start[end > start]
+        stop = end[end > start]
+        while len(at):
+            used[at] = True
+            at = at + size[at]
+            go = at < stop
+            at, stop = at[go], stop[go]
+        where = np.flatnonzero(used)
+        return best[where], where
+
+    def exact_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """Merge every word by rank, one merge a word in each round."""
+        size = np.array([len(w) for w in words])
+        owner = np.repeat(np.arange(len(words)), size)
+        ids = self.single[0][np.frombuffer(b"".join(words), np.uint8)]
+        last = np.cumsum(size) - 1
+        ids[last] = self.single[1][np.frombuffer(b"".join(words), np.uint8)[last]]
+        none = np.int64(1) << 40
+        done_ids, done_owner = [], []
+        while len(ids):
+            r = np.full(len(ids), none)
+            inner = np.flatnonzero(owner[1:] == owner[:-1])
+            found = self.pair_rank(ids[inner], ids[inner + 1])
+            r[inner] = np.where(found >= 0, found, none)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.minimum.reduceat((r << 21) | np.arange(len(ids)), first)
+            over = (least >> 21) == none
+            width = np.diff(np.append(first, len(ids)))
+            ended = np.repeat(over, width)
+            done_ids.append(ids[ended])
+            done_owner.append(owner[ended])
+            at = (least & ((1 << 21) - 1))[~over]
+            ids[at] = self.made[r[at]]
+            keep = ~ended
+            keep[at + 1] = False
+            ids, owner = ids[keep], owner[keep]
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return np.split(ids[order], np.searchsorted(owner[order], np.arange(1, len(words))))
 
     def exact(self, letters: str) -> list[int]:
         """Merge the lowest rank first, the leftmost of equals, in O(n log n)."""
@@ -152,22 +210,33 @@ class Tokenizer:
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q]))
         return [t for t, ok in zip(ids, alive) if ok]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word."""
-        letters = ["".join([self.letters[b] for b in w.encode()]) + self.suffix for w in words]
-        found = [self.propose(x) for x in letters]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(found)), size)
-        bad = np.zeros(len(found), bool)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Token ids of each (non-empty) word, as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
+        spelt = [w.encode() for w in words]
+        end = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
+        flat, where = self.propose(np.frombuffer(b"".join(spelt), np.uint8), end)
+        owner = np.searchsorted(end, where, "right")
+        bad = np.zeros(len(words), bool)
         bad[owner[~self.sound[flat]]] = True
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
         inner = inner[~bad[owner[inner]]]
         never = 1 << 40
         bad[owner[inner[self.crossed(flat[inner], flat[inner + 1], never, never)]]] = True
-        for i in np.flatnonzero(bad):
-            found[i] = self.exact(letters[i])
-        return found
+        edge = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        raw = flat.astype("<u4").tobytes()
+        out = [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        redo = np.flatnonzero(bad).tolist()
+        short = [i for i in redo if len(spelt[i]) <= 64]
+        for i in redo:
+            if len(spelt[i]) > 64:
+                out[i] = np.array(self.exact("".join([self.letters[b] for b in spelt[i]]) + self.suffix), "<u4").tobytes()
+        for k in range(0, len(short), 10000):
+            part = short[k : k + 10000]
+            for i, ids in zip(part, self.exact_all([spelt[i] for i in part])):
+                out[i] = ids.astype("<u4").tobytes()
+        return out
 
     def split(self, text: str) -> list[str]:
         """Words and special strings of a text, in order."""
@@ -186,7 +255,7 @@ class Tokenizer:
             if max(text) > "՗" and any(unicodedata.category(c) == "Cn" for c in set(text) if c > "՗"):
                 return self._split_unassigned(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words(self.gaps(" ", text).lower())
+        return self.words(text.lower())
 
     def _split_unassigned(self, text: str) -> list[str]:
         """Letters newer than this Python's tables: the library's own tables decide."""
@@ -216,8 +285,7 @@ class Encoder:
 
     def _reset(self) -> None:
         tok = self.tok
-        self.ids = {s: np.array([i], "<u4").tobytes() for s, i in tok.special.items()}
-        self.known = dict(self.ids)
+        self.known = {s: np.array([i], "<u4").tobytes() for s, i in tok.special.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -226,8 +294,7 @@ class Encoder:
             self._reset()
         known = self.known
         new = [w for w in set().union(*parts) if w not in known]
-        for w, ids in zip(new, self.tok.encode_words(new)):
-            known[w] = np.array(ids, "<u4").tobytes()
+        known.update(zip(new, self.tok.encode_words(new)))
         return [b"".join([known[w] for w in p]) for p in parts]
 
 

@@ -133,3 +133,35 @@ def shingles(buf: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray,
         out[bound[d]] = v ^ np.uint64(int(n[d]) + 1)
     assert len(long) == len(out)
     return mix(out), bound
+
+
+class HashIndex:
+    """A fixed map from distinct 64-bit keys to small numbers, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int64)
+        todo, slot = np.arange(len(keys)), keys & self.mask
+        while len(todo):
+            free = self.values[slot] < 0
+            at, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[at], self.values[at] = keys[todo[won]], values[todo[won]]
+            rest = np.ones(len(todo), bool)
+            rest[won] = False
+            todo, slot = todo[rest], (slot[rest] + np.uint64(1)) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slot = keys & self.mask
+        out = self.values[slot]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(wrong):
+            slot = (slot[wrong] if len(slot) != len(wrong) else slot) + np.uint64(1) & self.mask
+            found, here = self.values[slot], self.keys[slot] == keys[wrong]
+            out[wrong] = found
+            more = (found >= 0) & ~here
+            wrong, slot = wrong[more], slot[more]
+        return out
