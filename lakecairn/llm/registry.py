@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakecairn.llm import bpe, extract, jaccard, langid, quality, rules, sketch
+from lakecairn.llm import bpe, extract, jaccard, langid, quality, rules, sketch, suffix
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_html_extraction": op7_html_extraction,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
