@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakecairn.llm import bpe, extract, jaccard, langid, quality, rules, sketch, suffix
+from lakecairn.llm import bpe, extract, jaccard, langid, mixing, quality, rules, sketch, suffix, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,16 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out, _ = mixing.mix(_documents(spark, sf_dir), mixing.label_domains(labels), mixing.WEIGHTS)
+    return out.withColumn("copies", mixing.copies(F.col("rate")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build(spark.read.parquet(f"{sf_dir}/pages.parquet"), records=False)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(_documents(spark, sf_dir))
 
@@ -59,6 +70,8 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_html_extraction": op7_html_extraction,
+    "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
