@@ -326,19 +326,24 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode every whole text, decode its ids, and give digests of both."""
+def digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """Encode every whole text, decode its ids, and give digests of both; with ``ids`` also the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
         enc = Encoder(tok)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            rows: list[tuple] = []
+            at = 0
             for texts in _texts(batch.column("text")):
-                rows += [(len(x) // 4, sha(x), sha(decode(tok, x).encode())) for x in enc.encode(texts)]
-            if rows:
-                n, a, b = zip(*rows)
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)})
+                found = enc.encode(texts)
+                n = np.array([len(x) // 4 for x in found], np.int64)
+                cols = {"doc_id": batch.column("doc_id").slice(at, len(texts)), "n_tokens": pa.array(n)}
+                cols |= {"ids_sha256": pa.array([sha(x) for x in found]), "decoded_sha256": pa.array([sha(decode(tok, x).encode()) for x in found])}
+                if ids:
+                    bound = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(bound), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+                at += len(texts)
+                yield pa.record_batch(cols)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST + (", ids array<int>" if ids else ""))

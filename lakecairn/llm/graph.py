@@ -15,12 +15,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the shared folder of spark.checkpoint.dir."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_folder(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def _folder(spark: SparkSession) -> str:
-    """The session's folder; one of our own only where none is set, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where none is set, as in tests."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lakecairn')}"
 
 

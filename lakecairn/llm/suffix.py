@@ -332,21 +332,30 @@ def cuts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``text`` also the kept bytes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def dedup(docs: DataFrame, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``text`` also the kept bytes, and columns to carry.
+
+    Carried columns travel with the cuts, so that the texts are dealt out once. They are null where doc_id is.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     named, times = unique_ids(docs)
     rows = named.select(F.col("row").alias("doc_id"), "text")
+    side = cuts(rows)
+    if carry:
+        side = named.select(F.col("row").alias("doc_id"), *carry).filter("doc_id is not null").join(side, "doc_id", "left")
+    types = dict(docs.dtypes)
+    schema = RESULT + (", kept binary" if text else "") + "".join(f", `{c}` {types[c]}" for c in carry)
+    names = [x.split()[0] for x in RESULT.split(", ")] + ["kept"] * text + list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = batch.column("cuts")
-            out = []
+            out, done = [], 0
             for first, last, buf, off in K.slices(batch.column("text")):
                 for i in range(last - first):
                     data = buf[off[i] : off[i + 1]]
@@ -359,10 +368,12 @@ def dedup(docs: DataFrame, text: bool = False) -> DataFrame:
                         removed, spans = int((stop - start).sum()), len(start)
                     kept = b"".join(p.tobytes() for p in pieces)
                     out.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept if text else None))
-            n, removed, spans, sha, kept = zip(*out)
-            yield _record(RESULT, batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string()), pa.array(kept, pa.binary()))
-
-    out = rows.join(cuts(rows), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(run, RESULT)
-    if times > 1:
-        out = out.withColumn("doc_id", F.expr(f"doc_id div {times}"))
-    return out if text else out.drop("kept")
+                n, removed, spans, sha, kept = zip(*out)
+                cols = [batch.column("doc_id").slice(done, len(out)), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())]
+                cols += [pa.array(kept, pa.binary())] * text + [batch.column(c).slice(done, len(out)) for c in carry]
+                yield pa.record_batch(cols, names=names)
+                done += len(out)
+                out.clear()
+
+    out = rows.join(side, "doc_id", "left").select("doc_id", "text", "cuts", *carry).mapInArrow(run, schema)
+    return out.withColumn("doc_id", F.expr(f"doc_id div {times}")) if times > 1 else out
