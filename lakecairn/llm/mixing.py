@@ -1,13 +1,16 @@
 """Mixing to target weights with soft domain membership.
 
-A classifier learnt from a labelled table gives every document its domain posteriors.
+A classifier learnt from a labelled table gives every document its domain posteriors, from
+the distinct words it has and the shares of its words' shapes.
 Nonnegative rates of documents are then fitted by projected gradient descent on
 
-    sum over domains of (expected tokens - target tokens)^2 / (2 * total * natural share)
+    miss' * W * miss / (2 * total),    miss = expected tokens - target tokens, by domain
 
 where a domain's expected tokens are the sum of rate * tokens * posterior over all
-documents. Each round is one pass that returns a few sums; a document's rate follows
-from its posteriors and the rounds' gradients, so nothing is kept but those.
+documents, and W is the inverse of the mean of posterior * posterior' over all tokens: with
+these weights domains that are often confused do not slow the descent. Each round is one
+pass that returns a few sums; a document's rate follows from its posteriors and the rounds'
+gradients, so nothing is kept but those.
 
 Defined cases: a null or empty text has no tokens and the bias alone gives its
 posteriors; without labelled rows or tokens every rate is 1; a domain that is not in the
@@ -31,10 +34,24 @@ from lakecairn.llm.graph import checkpointed
 
 #: Labelled rows to learn from, about (documented bound).
 SAMPLE = 8000
+#: Value of a word that a text has; drawn rows that must have a feature for it to count.
+PRESENCE, LEAST_ROWS = 0.5, 4
 #: Domains at most: posteriors and sums are vectors of this length.
 MAX_DOMAINS = 1000
 
 
+def sparse(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, value) of a run of documents."""
+    word, form, doc = quality.hashes(buf, off)
+    has = np.unique((doc << quality.BITS) | quality.buckets(word))
+    n = np.bincount(doc, minlength=len(off) - 1)
+    return (
+        np.concatenate([has >> quality.BITS, doc]),
+        np.concatenate([has & (quality.BUCKETS - 1), quality.buckets(form)]),
+        np.concatenate([np.full(len(has), PRESENCE), quality.SCALE / np.maximum(n, 1)[doc]]),
+    )
+
+
 @dataclass
 class Classifier:
     domains: list[str]
@@ -43,13 +60,10 @@ class Classifier:
 
     def posteriors(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
-        h, doc = quality.features(buf, off)
-        total = np.maximum(np.bincount(doc, minlength=n), 1) if len(h) else np.ones(n)
-        dot = np.zeros((n, len(self.domains)))
-        if len(h):
-            for d in range(len(self.domains)):
-                dot[:, d] = np.bincount(doc, weights=self.weights[:, d][h], minlength=n)
-        z = dot * (quality.SCALE / total)[:, None] + self.bias
+        doc, at, value = sparse(buf, off)
+        z = np.repeat(self.bias[None], n, 0)
+        for d in range(len(self.domains)):
+            z[:, d] += np.bincount(doc, weights=self.weights[at, d] * value, minlength=n)
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -71,13 +85,19 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, epochs: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, buf, off in K.slices(batch.column("text")):
-                rows = quality.sparse(buf, off)
+                doc, at, value = sparse(buf, off)
+                key, where = np.unique((doc << quality.BITS) | at, return_inverse=True)
+                value = np.bincount(where, weights=value, minlength=len(key)).astype(np.float32)
+                bound = pa.array(np.searchsorted(key >> quality.BITS, np.arange(last - first + 1)).astype(np.int32))
                 cols = {c: batch.column(c).slice(first, last - first) for c in ("doc_id", "domain")}
-                yield pa.record_batch(cols | {"idx": pa.array([i for i, _ in rows], pa.list_(pa.int32())), "val": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+                at = pa.array((key & (quality.BUCKETS - 1)).astype(np.int32))
+                yield pa.record_batch(cols | {"idx": pa.ListArray.from_arrays(bound, at), "val": pa.ListArray.from_arrays(bound, pa.array(value))})
 
     table = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
     table = table.mapInArrow(run, "doc_id long, domain string, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
     data = [(np.asarray(i.values), np.asarray(v.values, np.float64), domains.index(y)) for i, v, y in zip(table["idx"], table["val"], table["domain"].to_pylist()) if len(i)]
+    rows_with = np.bincount(np.concatenate([i for i, *_ in data]), minlength=quality.BUCKETS) if data else np.zeros(quality.BUCKETS)
+    data = [(i[k], x[k], y) for i, x, y in data for k in [rows_with[i] >= LEAST_ROWS]]
     drawn_of = np.bincount([y for *_, y in data], minlength=len(domains)) if data else np.ones(len(domains))
     real = np.array([counts[d] for d in domains], float)
     # Rows weigh as their domain does in the labelled table, so that posteriors keep its shares.
@@ -167,19 +187,18 @@ def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], toleranc
     first = sums(steps, True) if width else np.zeros(0)
     natural = first[:width] if len(first) else np.zeros(width)
     total = natural.sum()
-    w = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
-    if not width or not total or not w.sum():
+    asked = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
+    if not width or not total or not asked.sum():
         return Fit(domains, natural, steps, natural, natural)
-    targets = w / w.sum() * total
-    share = np.maximum(natural / total, 1e-9)
+    targets = asked / asked.sum() * total
     m = first[width:].reshape(width, width) / total
-    rate = 1 / np.linalg.eigvalsh(m / np.sqrt(np.outer(share, share))).max()
+    w = np.linalg.inv(m + 1e-6 * np.trace(m) * np.eye(width))
     expected = natural
     for _ in range(rounds):
         miss = expected - targets
         if np.abs(miss).max() <= tolerance * total:
             break
-        steps = np.concatenate([steps, (rate * miss / (total * share))[None]])
+        steps = np.concatenate([steps, (w @ miss / total)[None]])
         expected = sums(steps, False)
     return Fit(domains, targets, steps, expected, natural)
 
@@ -214,7 +233,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]) -> tupl
 
 
 #: Domains of the labels table, and the weights that production mixes to.
-WEIGHTS = {"q1t0": 0.85, "q1t1": 0.05, "q0t0": 0.08, "q0t1": 0.02}
+WEIGHTS = {"q1t0": 0.88, "q1t1": 0.05, "q0t0": 0.06, "q0t1": 0.01}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -34,12 +34,11 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123], _SHAPE[128:], _SHAPE[65:91], _SHAPE[48:58] = 97, 97, 65, 48
 
 
-def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of a run of documents, and the document of each; in document order by kind."""
+def hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, in lower case, of its shape, and the document of each."""
     start, end, first = K.words(buf, off)
-    n = len(start)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     low = K.LOWER[buf]
     word = K.span_hash(K.prefix_hash(low), start, end)
@@ -49,13 +48,24 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep[start] = True
     at = np.concatenate([[0], np.cumsum(keep)])
     form = K.span_hash(K.prefix_hash(shape[keep], 1), at[start], at[end])
+    return word, form + np.uint64(2), doc
+
+
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (K.mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of a run of documents, and the document of each; in document order by kind."""
+    word, form, doc = hashes(buf, off)
+    if not len(word):
+        return np.zeros(0, np.int64), doc
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     m = np.uint64(0xD6E8FEB86659FD93)
     two = lambda h, k: h[pair] * m + h[pair + 1] + np.uint64(k)
     again = (word[pair] == word[pair + 1]).astype(np.uint64) + np.uint64(77)
-    kinds = [(word, doc), (form + np.uint64(2), doc), (two(word, 3), doc[pair]), (two(form, 4), doc[pair]), (again, doc[pair])]
-    h = np.concatenate([K.mix(x) for x, _ in kinds]) >> np.uint64(64 - BITS)
-    return h.astype(np.int64), np.concatenate([d for _, d in kinds])
+    kinds = [(word, doc), (form, doc), (two(word, 3), doc[pair]), (two(form - np.uint64(2), 4), doc[pair]), (again, doc[pair])]
+    return np.concatenate([buckets(x) for x, _ in kinds]), np.concatenate([d for _, d in kinds])
 
 
 def sparse(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
