@@ -5,7 +5,8 @@ Documents with equal sets form a class, its smallest doc_id stands for it. Then
 * small sets (up to a boundary) enumerate subsets of fixed size: for each pair of
   sizes, all subsets of as many shingles as such a pair must share;
 * large sets (and small ones near the boundary, for pairs across it) post the part of
-  their shingles that any partner must meet, rare shingles first;
+  their shingles that any partner must meet, rare shingles first. Shingles that no other
+  set has come first of all and need no posting, so most sets post nothing;
 
 so that two sets which link meet under some key. Keys give chains of sets whose sizes
 allow a link, chains give clusters, and within a cluster the inverted lists are scanned:
@@ -13,6 +14,9 @@ every set's overlap with every other is counted exactly. Clusters over a bound a
 into blocks and compared block by block. The boundary is the one of least cost, from the
 numbers of sets by size.
 
+How often each shingle occurs is counted over all sets, in sorted runs dealt out by
+shingle; the most frequent ones are known to every task beforehand and skip that shuffle.
+
 Defined cases: null text, or one without words, has an empty set, links with nothing and
 is its own component; fewer than five words make one shingle; a null doc_id is never a
 partner's component but takes part in its class; rows with one id count as one document;
@@ -22,6 +26,7 @@ extra columns pass by; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -36,11 +41,13 @@ from lakecairn.llm.graph import checkpointed, components, small
 #: Percent of the union that two sets must share.
 PERCENT = 80
 #: Shingles counted together for finding frequent ones, and copies among them that make one frequent.
-COUNTED, FREQUENT = 1 << 21, 4
+COUNTED, FREQUENT = 1 << 20, 4
 #: Most frequent shingles that are known to every task (a bound: it orders shingles, and drops none).
 KNOWN = 100_000
 #: Shingles compared at once; a larger cluster is cut into blocks.
 VOLUME = 1 << 20
+#: Shingles counted at once, about, and ranges of them at most.
+PART, MAX_PARTS = 1 << 19, 1 << 16
 #: Largest size that may be a small set.
 LARGEST_SMALL = 20
 
@@ -87,11 +94,12 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(K.mix(s).sum(dtype=np.uint64).view(np.int64)), int(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
-SCAN = "kind int, doc_id long, n long, k1 long, k2 long"
+SCAN = "kind int, doc_id long, n long, k1 long, k2 long, tokens array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document's size and class key. Kind 1: a shingle (k1) frequent among some documents, and its count."""
+    """Kind 0: a document's size, class key and, if it may count as small, its shingles.
+    Kind 1: a shingle (k1) frequent among some documents, and its count."""
     held: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
     volume = 0
@@ -104,14 +112,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         seen.clear()
         z = np.zeros(int(often.sum()), np.int64)
-        return _rows([z.astype(np.int32) + 1, z, count[often], s[edge[often]].view(np.int64), z])
+        return _rows(SCAN, z.astype(np.int32) + 1, z, count[often], s[edge[often]].view(np.int64), z, pa.nulls(len(z), pa.list_(pa.int64())))
 
     for batch in batches:
-        size, keys = [], []
+        size, keys, few = [], [], []
         for _, s in _sets(batch):
             key = _key(s)
             size.append(len(s))
             keys.append(key)
+            few.append(s.view(np.int64) if 0 < len(s) <= LARGEST_SMALL else None)
             if len(s) and key not in seen:
                 seen.add(key)
                 held.append(s)
@@ -121,35 +130,153 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     volume = 0
         if size:
             k = np.array(keys, np.int64).reshape(-1, 2)
-            yield _rows([np.zeros(len(size), np.int32), batch.column("doc_id"), np.array(size, np.int64), k[:, 0].copy(), k[:, 1].copy()])
+            yield _rows(SCAN, np.zeros(len(size), np.int32), batch.column("doc_id"), np.array(size, np.int64), k[:, 0].copy(), k[:, 1].copy(), pa.array(few, pa.list_(pa.int64())))
     yield frequent()
 
 
-def _rows(cols: list) -> pa.RecordBatch:
-    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in SCAN.split(", ")])
+def _rows(schema: str, *cols) -> pa.RecordBatch:
+    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _signature(s: np.ndarray, limit: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The keys under which a set meets every set it may link with."""
+def _subsets(s: np.ndarray, limit: int) -> np.ndarray:
+    """The keys under which a small set meets every small set that it may link with."""
     n = len(s)
-    out = []
-    if n <= limit:
-        for m in partner_sizes(n):
-            c = must_share(n, m)
-            if c <= min(n, m) and m <= limit:
-                tag = np.array([min(n, m) << 32 | max(n, m)], np.uint64)
-                picks = np.array(list(combinations(range(n), c)))
-                out.append(K.mix(K.mix(s[picks]).sum(1, dtype=np.uint64) + K.mix(tag)))
-    if n >= -(-PERCENT * (limit + 1) // 100):
-        tokens, often = known
-        p = prefix_length(n)
-        if len(tokens):
-            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-            df = np.where(tokens[at] == s, often[at], 0)
-            if df.any():
-                s = s[np.argsort(df, kind="stable")]
-        out.append(s[:p])
-    return np.concatenate(out) if out else s[:0]
+    out = [s[:0]]
+    for m in partner_sizes(n):
+        c = must_share(n, m)
+        if c <= min(n, m) and m <= limit:
+            tag = np.array([min(n, m) << 32 | max(n, m)], np.uint64)
+            picks = np.array(list(combinations(range(n), c)))
+            out.append(K.mix(K.mix(s[picks]).sum(1, dtype=np.uint64) + K.mix(tag)))
+    return np.concatenate(out)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, which the shuffle's compression makes short."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How shingles are counted: bits kept of each, ranges of them, groups of documents, and the known ones."""
+
+    bits: int
+    parts: int
+    known: np.ndarray  # sorted
+    often: np.ndarray
+
+    @staticmethod
+    def of(total: int, known: np.ndarray, often: np.ndarray) -> Layout:
+        parts = int(np.clip(total // PART, 1, MAX_PARTS))
+        return Layout(int(np.clip(total.bit_length() + 12, 40, 62)), parts, known, often)
+
+    def edges(self) -> np.ndarray:
+        return np.array([(i << self.bits) // self.parts for i in range(1, self.parts)], np.int64)
+
+    def group(self, doc: np.ndarray) -> np.ndarray:
+        return (K.mix(doc.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
+
+
+#: Runs of counted shingles (state RUN: sorted shingles as differences), and shared ones by document (SHARED).
+RUNS = "part int, state int, tokens binary, docs binary, counts binary"
+RUN, SHARED, SIZES = 0, 1, 2
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Short batches: rows of packed numbers are long."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _shared(layout: Layout, doc: np.ndarray, token: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Entries (document, shingle, how often) dealt to the documents' groups."""
+    group = layout.group(doc)
+    order = np.lexsort((doc, group))
+    doc, token, count, group = doc[order], token[order], count[order], group[order]
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    cut = list(zip(begin.tolist(), np.append(begin[1:], len(group)).tolist()))
+    cols = [pa.array([_planes(x[a:b]) for a, b in cut], pa.binary()) for x in (token, doc, count)]
+    return _rows(RUNS, group[begin], np.full(len(cut), SHARED, np.int32), *cols)
+
+
+def _count(shared):
+    """Partitions of runs to entries of the shingles that two sets or more have; entries found before pass."""
+
+    def part(layout: Layout, tokens: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+        t, d = np.concatenate(tokens), np.concatenate(docs)
+        order = np.argsort(t, kind="stable")
+        t, d = t[order], d[order]
+        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        count = np.diff(np.append(begin, len(t)))
+        many = np.repeat(count > 1, count)
+        return _shared(layout, d[many], t[many], np.repeat(np.minimum(count, 1 << 30), count)[many])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = shared.value
+        tokens, docs, at = [], [], None
+        for batch in _pieces(batches):
+            state = batch.column("state").to_numpy()
+            if (state == SHARED).any():
+                yield batch.filter(pa.array(state == SHARED))
+            runs = batch.filter(pa.array(state == RUN))
+            for p, t, d in zip(*(runs.column(c).to_pylist() for c in ("part", "tokens", "docs"))):
+                if p != at and tokens:
+                    yield part(layout, tokens, docs)
+                    tokens, docs = [], []
+                at = p
+                tokens.append(np.cumsum(_unplanes(t, np.int64)))
+                docs.append(_unplanes(d, np.int64))
+        if tokens:
+            yield part(layout, tokens, docs)
+
+    return run
+
+
+SIGNED = "doc_id long, n long, tokens array<long>"
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared shingles in each document's prefix, group by group."""
+
+    def group(entries: list[tuple], sizes: list[tuple]) -> pa.RecordBatch | None:
+        if not entries or not sizes:
+            return None
+        token, doc, count = (np.concatenate(x) for x in zip(*entries))
+        ids, n = (np.concatenate(x) for x in zip(*sizes))
+        ids, first = np.unique(ids, return_index=True)
+        n = n[first]
+        order = np.lexsort((token, count, doc))
+        token, doc = token[order], doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        have = np.diff(np.append(begin, len(doc)))
+        at = np.minimum(np.searchsorted(ids, doc[begin]), len(ids) - 1)
+        size = np.where(ids[at] == doc[begin], n[at], 0)
+        take = np.clip(size - -(-PERCENT * size // 100) + 1 - (size - have), 0, have)
+        take[size == 0] = 0
+        keep = np.arange(len(doc)) - np.repeat(begin, have) < np.repeat(take, have)
+        some = take > 0
+        bound = np.concatenate([[0], np.cumsum(take[some])]).astype(np.int32)
+        return _rows(SIGNED, doc[begin][some], size[some], pa.ListArray.from_arrays(pa.array(bound), pa.array(token[keep])))
+
+    entries, sizes, at = [], [], None
+    for batch in _pieces(batches):
+        for p, state, t, d, c in zip(*(batch.column(x).to_pylist() for x in ("part", "state", "tokens", "docs", "counts"))):
+            if p != at:
+                if (out := group(entries, sizes)) is not None:
+                    yield out
+                entries, sizes, at = [], [], p
+            if state == SIZES:
+                sizes.append((_unplanes(d, np.int64), _unplanes(c, np.int64)))
+            else:
+                entries.append((_unplanes(t, np.int64), _unplanes(d, np.int64), _unplanes(c, np.int64)))
+    if (out := group(entries, sizes)) is not None:
+        yield out
 
 
 POSTING = "key long, token long, low long, high long, doc_id long, other long"
@@ -295,35 +422,84 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (documents linked with it) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = checkpointed(docs.mapInArrow(_scan, SCAN))
+    scan = checkpointed(docs.mapInArrow(K.tidy(_scan), SCAN))
     rows = scan.filter("kind = 0").select("doc_id", "n", "k1", "k2")
     sizes = rows.filter(f"n between 1 and {2 * LARGEST_SMALL}").groupBy("n").count().collect()
     limit = boundary({r["n"]: r["count"] for r in sizes})
+    least = -(-PERCENT * (limit + 1) // 100)  # smaller sets meet all their partners by subsets
     often = scan.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "k1").limit(KNOWN).toArrow()
-    tokens, df = often["k1"].to_numpy().view(np.uint64), often["df"].to_numpy()
-    order = np.argsort(tokens)
-    known = spark.sparkContext.broadcast((tokens[order], df[order]))
+    known, df = often["k1"].to_numpy().view(np.uint64), often["df"].to_numpy()
+    order = np.argsort(known)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    layout = spark.sparkContext.broadcast(Layout.of(total, known[order], df[order]))
 
     classes = checkpointed(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     copies = rows.filter("n > 0 and doc_id is not null").join(classes, ["k1", "k2", "n"]).filter("doc_id <> first").select("doc_id")
     copies = checkpointed(copies.distinct())
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+    copies = small(copies, copies.count())
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted runs of the shingles of some documents, one a range; entries of known shingles."""
+        lay = layout.value
+        edges, parts = lay.edges(), np.arange(lay.parts, dtype=np.int32)
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            doc = np.repeat([i for i, _ in held], [len(s) for _, s in held]).astype(np.int64)
+            s = np.concatenate([s for _, s in held])
+            held.clear()
+            token = (s >> np.uint64(64 - lay.bits)).view(np.int64)
+            if len(lay.known):
+                at = np.minimum(np.searchsorted(lay.known, s), len(lay.known) - 1)
+                hit = lay.known[at] == s
+                if hit.any():  # after all others in a prefix, the most frequent last
+                    yield _shared(lay, doc[hit], token[hit], lay.often[at[hit]] + (1 << 30))
+                token, doc = token[~hit], doc[~hit]
+            order = np.argsort(token)
+            token, doc = token[order], doc[order]
+            cut = np.concatenate([[0], np.searchsorted(token, edges), [len(token)]]).tolist()
+            full = [(p, a, b) for p, a, b in zip(parts, cut[:-1], cut[1:]) if b > a]
+            if full:
+                tokens = [_planes(np.diff(token[a:b], prepend=0)) for _, a, b in full]
+                docs = [_planes(doc[a:b]) for _, a, b in full]
+                yield _rows(RUNS, np.array([p for p, *_ in full], np.int32), np.full(len(full), RUN, np.int32), pa.array(tokens, pa.binary()), pa.array(docs, pa.binary()), pa.nulls(len(full), pa.binary()))
+
+        volume = 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found: dict[tuple[int, int], tuple] = {}
             for i, s in _sets(batch):
-                if len(s) and ids[i] is not None and ((key := _key(s)) not in found or ids[i] < found[key][0]):
-                    found[key] = (ids[i], len(s), _signature(s, limit, table))
-            if found:
-                who, n, keys = zip(*found.values())
-                bound = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = pa.array(np.concatenate(keys).view(np.int64))
-                yield pa.record_batch({"doc_id": pa.array(who, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(bound), flat)})
-
-    signed = docs.mapInArrow(sign, "doc_id long, n long, tokens array<long>").join(small(copies, copies.count()), "doc_id", "left_anti")
-    edges = signed.mapInArrow(_combine, POSTING).repartition("key").mapInArrow(_reduce, "a long, b long")
+                if len(s) >= least and ids[i] is not None:
+                    held.append((ids[i], s))
+                    volume += len(s)
+                    if volume > COUNTED:
+                        yield from flush()
+                        volume = 0
+        if held:
+            yield from flush()
+
+    def packed_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lay = layout.value
+        for batch in batches:
+            doc, n = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
+            order = np.argsort(lay.group(doc), kind="stable")
+            doc, n, group = doc[order], n[order], lay.group(doc)[order]
+            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+            cut = list(zip(begin.tolist(), np.append(begin[1:], len(group)).tolist()))
+            docs, counts = (pa.array([_planes(x[a:b]) for a, b in cut], pa.binary()) for x in (doc, n))
+            yield _rows(RUNS, group[begin], np.full(len(cut), SIZES, np.int32), pa.nulls(len(cut), pa.binary()), docs, counts)
+
+    def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_subsets(np.array(t, np.int64).view(np.uint64), limit).view(np.int64) for t in batch.column("tokens").to_pylist()]
+            yield _rows(SIGNED, batch.column("doc_id"), batch.column("n"), pa.array(keys, pa.list_(pa.int64())))
+
+    mine = docs.filter("doc_id is not null").join(copies, "doc_id", "left_anti").select("doc_id", "text")
+    counted = mine.mapInArrow(K.tidy(runs), RUNS).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(_count(layout)), RUNS)
+    measured = rows.filter(f"n >= {max(1, least)} and doc_id is not null").select("doc_id", "n").mapInArrow(K.tidy(packed_sizes), RUNS)
+    large = counted.unionByName(measured).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(lambda b: _combine(_prefixes(b))), POSTING)
+    few = scan.filter(f"kind = 0 and n between 1 and {limit} and doc_id is not null").join(copies, "doc_id", "left_anti")
+    posted = large.unionByName(few.select("doc_id", "n", "tokens").mapInArrow(K.tidy(lambda b: _combine(subsets(b))), POSTING))
+    edges = posted.repartition("key").mapInArrow(K.tidy(_reduce), "a long, b long")
     clusters = components(edges)
 
     member = clusters.join(classes.select(F.col("first").alias("node"), "n", "copies"), "node")
@@ -346,9 +522,9 @@ def join(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(cols | {"tokens": pa.array(sets, pa.list_(pa.int64()))})
 
     sets = docs.join(small(member, member.count()), "doc_id").select("parts", "doc_id", "own", "copies", "text")
-    sets = sets.mapInArrow(full, "parts array<struct<part: long, across: boolean>>, doc_id long, own int, copies long, tokens array<long>")
+    sets = sets.mapInArrow(K.tidy(full), "parts array<struct<part: long, across: boolean>>, doc_id long, own int, copies long, tokens array<long>")
     sets = sets.select(F.explode("parts").alias("p"), "doc_id", F.col("own").alias("block"), "copies", "tokens").select("p.part", "p.across", "doc_id", "block", "copies", "tokens")
-    links = checkpointed(sets.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(_scan_lists, LINK))
+    links = checkpointed(sets.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(K.tidy(_scan_lists), LINK))
     n_links = links.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
     if n_cut:  # blocks of one cluster know only their own links
         whole = components(links.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))).select(F.col("node").alias("doc_id"), "component")

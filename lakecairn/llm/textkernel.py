@@ -7,15 +7,18 @@ longest document), not the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once, unless one document is longer.
-MAX_BYTES = 1 << 20
+#: Bytes of text handled at once, unless one document is longer. Just under a power of two, as tables of powers are.
+MAX_BYTES = (1 << 20) - (1 << 12)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -29,6 +32,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over batches, giving memory back when it ends: workers live on from stage to stage."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1
