@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lakecairn.plans import q_content, q_counters, q_history, q_listing, q_maps, q_tree, q_versions  # noqa: F401
+from lakecairn.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
