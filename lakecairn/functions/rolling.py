@@ -1,15 +1,20 @@
-"""Rolling hash of bytes by a cyclic polynomial, as window functions.
+"""Rolling hash of bytes by a cyclic polynomial.
 
 With T the byte table, H_i = xor over the last n bytes of rotl(T[b], age). One running
-xor of rotr(T[b_k], k) and its value n rows before give H_i by one rotation, so the work
-per byte does not depend on the window.
+xor of rotr(T[b_k], k) and its value n places before give H_i by one rotation, so the work
+per byte does not depend on the window. ``rolled`` and ``boundaries`` do that on whole byte
+strings at once, for data of any size; ``roll_frame`` is the same as window functions, with
+one row a byte, for strings that are to be looked at in SQL.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MASK32 = 0xFFFFFFFF
@@ -22,15 +27,6 @@ def byte_table(seed: str = "lakecairn") -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"{seed}:{b}".encode()).digest()[:4], "big") for b in range(256)]
 
 
-def rotl(x: Column, k: Column) -> Column:
-    """32-bit rotation of a bigint by k (0 to 31) places to the left."""
-    return F.expr(f"((shiftleft({_s(x)}, {_s(k)}) | shiftright({_s(x)}, 32 - {_s(k)})) & {MASK32})")
-
-
-def _s(c: Column) -> str:
-    return c._jc.toString()
-
-
 def roll(data: bytes, window: int = WINDOW, table: list[int] | None = None) -> list[int]:
     """The hash after each byte, one by one: what the window form must equal."""
     table = table or byte_table()
@@ -45,8 +41,55 @@ def roll(data: bytes, window: int = WINDOW, table: list[int] | None = None) -> l
     return out
 
 
-def table_frame(spark: SparkSession, table: list[int] | None = None) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(table or byte_table())), "b int, t bigint")
+def hash_array(data: np.ndarray, window: int = WINDOW, table: list[int] | None = None) -> np.ndarray:
+    """roll() of a byte array at once."""
+    low, width = np.uint64(MASK32), np.uint64(32)
+    t = np.array(table or byte_table(), np.uint64)[data]
+    k = (np.arange(len(data)) % 32).astype(np.uint64)
+    running = np.bitwise_xor.accumulate(((t >> k) | (t << (width - k))) & low) if len(t) else t
+    x = running.copy()
+    x[window:] ^= running[:-window]
+    return ((x << k) | (x >> (width - k))) & low
+
+
+def _each(df: DataFrame, key: str, data: str, rows, schema: str) -> DataFrame:
+    """rows(keys, byte strings) of short runs of a frame; null gives nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                kept = [(k, np.frombuffer(b, np.uint8)) for k, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if b is not None]
+                if kept:
+                    yield rows(*zip(*kept))
+
+    return df.select(F.col(key).cast("bigint").alias(key), F.col(data).cast("binary").alias("_data")).mapInArrow(run, f"`{key}` bigint, {schema}")
+
+
+def rolled(df: DataFrame, key: str, data: str, window: int = WINDOW, table: list[int] | None = None) -> DataFrame:
+    """key and hashes (the hash after each byte) of every byte string."""
+
+    def rows(keys: tuple, blobs: tuple) -> pa.RecordBatch:
+        hashes = [hash_array(b, window, table).astype(np.int64) for b in blobs]
+        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=[key, "hashes"])
+
+    return _each(df, key, data, rows, "hashes array<bigint>")
+
+
+def boundaries(df: DataFrame, key: str, data: str, bits: int = PATTERN_BITS, window: int = WINDOW, table: list[int] | None = None) -> DataFrame:
+    """key, pos, h of the bytes whose hash has all the pattern's bits."""
+    mask = np.uint64((1 << bits) - 1)
+
+    def rows(keys: tuple, blobs: tuple) -> pa.RecordBatch:
+        out: tuple[list, list, list] = ([], [], [])
+        for k, b in zip(keys, blobs):
+            h = hash_array(b, window, table)
+            at = np.flatnonzero(h & mask == mask)
+            for col, x in zip(out, (np.full(len(at), k), at, h[at].astype(np.int64))):
+                col.append(x.astype(np.int64))
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=[key, "pos", "h"])
+
+    return _each(df, key, data, rows, "pos bigint, h bigint")
 
 
 def roll_frame(df: DataFrame, key: str, data: str, window: int = WINDOW, table: list[int] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakecairn.functions.rolling import byte_table
+from lakecairn.functions.rolling import byte_table, hash_array
 
 #: Least, mean and greatest chunk, in bytes.
 MIN_SIZE, MEAN_SIZE, MAX_SIZE = 16 << 10, 32 << 10, 64 << 10
@@ -20,14 +20,8 @@ LOOK_BACK = 32
 
 def _marks(data: np.ndarray, bits: int) -> np.ndarray:
     """Whether a chunk may end after each byte, by the rolling hash of the last bytes."""
-    table = np.array(byte_table("chunk"), np.uint64)
-    t = table[data]
-    k = (np.arange(len(data)) % 32).astype(np.uint64)
     low = np.uint64(0xFFFFFFFF)
-    p = np.bitwise_xor.accumulate(((t >> k) | (t << (np.uint64(32) - k))) & low) if len(data) else t
-    x = p.copy()
-    x[LOOK_BACK:] ^= p[:-LOOK_BACK]
-    h = ((x << k) | (x >> (np.uint64(32) - k))) & low
+    h = hash_array(data, LOOK_BACK, byte_table("chunk"))
     # Bits are taken from a product: neighbouring positions share most bits of h itself.
     return ((h * np.uint64(0x9E3779B1)) & low) >> np.uint64(32 - bits) == 0
 

@@ -71,5 +71,9 @@ def test_rolling_hash_equals_byte_by_byte(spark, window):
     got = {}
     for r in rolling.roll_frame(df, "id", "t", window).orderBy("id", "pos").collect():
         got.setdefault(r.id, []).append(r.h)
+    whole = {r.id: r.hashes for r in rolling.rolled(df, "id", "t", window).collect()}
+    marks = rolling.boundaries(df, "id", "t", 3, window).collect()
     for i, t in enumerate(texts):
-        assert got.get(i, []) == rolling.roll(t.encode(), window)
+        want = rolling.roll(t.encode(), window)
+        assert got.get(i, []) == whole[i] == want
+        assert [(r.pos, r.h) for r in marks if r.id == i] == [(k, h) for k, h in enumerate(want) if h & 7 == 7]
