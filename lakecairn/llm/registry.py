@@ -76,6 +76,54 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+    from documents
+), s as (
+    select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+        when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle
+    from w
+), n as (
+    select doc_id, count(*) as n from s group by doc_id
+), shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+), links as (
+    select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), reached(node, origin) as (
+    select doc_id, doc_id from documents
+    union
+    select l.b, r.origin from reached r join links l on l.a = r.node
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.component_id, coalesce(l.n_links, 0)::bigint as n_links
+from documents d left join n on n.doc_id = d.doc_id
+join (select node, min(origin) as component_id from reached group by node) r on r.node = d.doc_id
+left join (select a, count(*) as n_links from links group by a) l on l.a = d.doc_id
+""",
+    "op10_suffix_dedup": r"""
+with t as (
+    select doc_id, hex(encode(coalesce(text, ''))) as hx from documents
+), w as (
+    select doc_id, i, md5_number(substr(hx, 2 * i + 1, 200)) as h
+    from (select doc_id, hx, unnest(range(0, length(hx) // 2 - 99)) as i from t where length(hx) >= 200)
+), late as (
+    select doc_id, i from (select doc_id, i, row_number() over (partition by h order by doc_id, i) as r from w) where r > 1
+), marked as (
+    select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as fresh from late
+), numbered as (
+    select doc_id, i, sum(fresh) over (partition by doc_id order by i) as span from marked
+), spans as (
+    select doc_id, span, min(i) as a, max(i) + 100 as b from numbered group by doc_id, span
+), gaps as (
+    select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from spans
+    union all select t.doc_id, coalesce(x.b, 0), length(hx) // 2 from t left join (select doc_id, max(b) as b from spans group by doc_id) x on x.doc_id = t.doc_id
+), kept as (
+    select g.doc_id, string_agg(substr(hx, 2 * g.a + 1, 2 * (g.b - g.a)), '' order by g.a, g.b) as hx from gaps g join t on t.doc_id = g.doc_id group by g.doc_id
+)
+select t.doc_id, (length(t.hx) // 2)::bigint as n_bytes, ((length(t.hx) - length(k.hx)) // 2)::bigint as n_removed,
+    coalesce(c.n, 0)::bigint as n_spans, sha256(unhex(k.hx)) as kept_sha256
+from t join kept k on k.doc_id = t.doc_id left join (select doc_id, count(*) as n from spans group by doc_id) c on c.doc_id = t.doc_id
+""",
     "op5_quality_rules": r"""
 with t as (
     select doc_id, coalesce(text, '') as text from documents
