@@ -53,6 +53,12 @@ def as_addr(value: Column) -> Column:
     return F.when(value["tag"] == ADDR, value["addr"])
 
 
+def contained_addrs(value: Column) -> Column:
+    """The addresses in a value: its own, or those among its list."""
+    inner = F.transform(F.filter(F.coalesce(value["vec"], F.array().cast(f"array<{SCALAR_TYPE}>")), lambda s: s["tag"] == ADDR), lambda s: s["addr"])
+    return F.when(value["tag"] == ADDR, F.array(value["addr"])).otherwise(inner)
+
+
 def _show_scalar(s: Column) -> Column:
     return F.when(s["tag"] == U32, s["u32"].cast("string")).when(s["tag"] == STR, s["str"]).otherwise(F.lower(F.hex(s["addr"])))
 

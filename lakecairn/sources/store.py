@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from lakecairn.errors import NotFound
-from lakecairn.functions.hashing import content_id
+from lakecairn.functions.hashing import content_id, lfs_pointer
+from lakecairn.operators.chunking import MAX_SIZE, MEAN_SIZE, MIN_SIZE, chunks
 from lakecairn.operators.listing import listing
 
 BLOB = "cid string, bytes binary, shard string"
@@ -66,6 +67,53 @@ class ContentStore:
         return found.filter("bytes is not null")
 
 
+class RecordStore:
+    """Rows as blobs: each row's JSON text is stored by its content id."""
+
+    def __init__(self, blobs: ContentStore):
+        self.blobs = blobs
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """rows with their cid."""
+        named = rows.withColumn("bytes", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).cast("binary"))
+        self.blobs.put(named.select("bytes"))
+        return named.withColumn("cid", content_id(F.col("bytes"))).drop("bytes")
+
+    def read(self, cids: DataFrame, schema: str) -> DataFrame:
+        """cids with the fields of their rows; JSON of another form raises."""
+        text = F.col("bytes").cast("string")
+        found = self.blobs.read(cids).withColumn("_row", F.from_json(text, schema, {"mode": "FAILFAST"}))
+        return found.select(*[c for c in cids.columns], "_row.*")
+
+
+class LargeFileStore:
+    """Byte strings behind pointers (version, oid, size): oid is ``sha256:`` and the digest, bytes are kept in chunks."""
+
+    INDEX = "oid string, pos int, cid string"
+
+    def __init__(self, blobs: ContentStore, path: str):
+        self.blobs, self.path = blobs, path
+
+    def write(self, data: DataFrame, key: str, col: str, sizes: tuple[int, int, int] = (MIN_SIZE, MEAN_SIZE, MAX_SIZE)) -> DataFrame:
+        """Store byte strings; returns key with its pointer."""
+        cut = chunks(data, key, col, *sizes)
+        self.blobs.put(cut)
+        pointers = data.select(F.col(key).cast("bigint").alias("key"), lfs_pointer(F.col(col).cast("binary")).alias("pointer"))
+        named = cut.join(pointers, "key").select("pointer.oid", "pos", "cid").distinct()
+        named.join(self._index().select("oid").distinct(), "oid", "left_anti").write.mode("append").parquet(self.path)
+        return pointers
+
+    def _index(self) -> DataFrame:
+        return _read(self.blobs.spark, self.path, self.INDEX)
+
+    def read(self, oid: str) -> bytes:
+        """The bytes of one oid: pointer to index to chunks."""
+        parts = self._index().filter(F.col("oid") == oid).join(self.blobs.frame().select("cid", "bytes"), "cid").orderBy("pos").select("bytes").collect()
+        if not parts:
+            raise NotFound(oid, self.path)
+        return b"".join(bytes(p[0]) for p in parts)
+
+
 class MetaStore:
     """String keys to bytes. A write appends; a read takes the last one."""
 

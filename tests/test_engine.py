@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lakecairn.__main__ import main
 from lakecairn.errors import CommitEmptyStage, InUse, NoChangesToWrite, NotFound
 from lakecairn.plans.engine import Engine
-from lakecairn.sources.store import ContentStore, MetaStore, import_files
+from lakecairn.config import Config
+from lakecairn.functions import head
+from lakecairn.sources.store import ContentStore, LargeFileStore, MetaStore, RecordStore, import_files
 from lakecairn.streaming import ingest
 
 
@@ -104,6 +106,42 @@ def test_bytes_and_files(spark, tmp_path):
     assert bytes(engine.get_bytes(idx).first().bytes) == b"hello " * 3000
 
 
+def test_records_and_large_files(spark, tmp_path):
+    blobs = ContentStore(spark, f"{tmp_path}/blobs")
+    records = RecordStore(blobs)
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
+    cids = records.put(rows).select("cid").distinct()
+    assert sorted((r.i, r.s) for r in records.read(cids, "i int, s string").collect()) == [(1, "a"), (2, None)]
+    files = LargeFileStore(blobs, f"{tmp_path}/lfs")
+    data = spark.createDataFrame([(1, bytearray(b"foo")), (2, bytearray(b"x" * 5000)), (3, bytearray(b""))], "id long, b binary")
+    pointers = {r.key: r.pointer for r in files.write(data, "id", "b", (256, 512, 1024)).collect()}
+    assert files.read(pointers[1].oid) == b"foo" and files.read(pointers[2].oid) == b"x" * 5000 and files.read(pointers[3].oid) == b""
+    files.write(data, "id", "b", (256, 512, 1024))
+    assert files.read(pointers[2].oid) == b"x" * 5000 and pointers[2].size == 5000
+    with pytest.raises(NotFound):
+        files.read("sha256:00")
+
+
+def test_config(tmp_path):
+    (tmp_path / ".lakecairn").mkdir()
+    (tmp_path / "a/b").mkdir(parents=True)
+    assert Config().locate(tmp_path / "a/b") == tmp_path / ".lakecairn" and Config().name == "default"
+    assert Config(workspace="w").merge(Config(base=tmp_path, folder="x")).locate() == tmp_path / "x"
+    with pytest.raises(NotFound):
+        Config(folder=".no-such-folder").locate(tmp_path)
+
+
+def test_head_text(spark):
+    rows = [("main", None, None), ("main", "aa", None), (None, None, "bb")]
+    df = spark.createDataFrame(rows, "branch string, staged string, detached string")
+    text = df.select(head.to_text(F.col("branch"), F.col("staged"), F.col("detached")).alias("t"))
+    assert {r.t for r in text.collect()} == {"branch: main", "branch: main\nstaged_content: aa", "detached: bb"}
+    assert sorted(map(str, text.select(head.from_text(F.col("t")).alias("h")).select("h.*").collect())) == sorted(map(str, df.collect()))
+    for bad in ("nothing", "branch: a\nother: b", "detached: "):
+        with pytest.raises(Exception, match="unknown head"):
+            spark.createDataFrame([(bad,)], "t string").select(head.from_text(F.col("t")).alias("h")).collect()
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "k string, seq long, v string").write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("k string, seq long, v string").parquet(f"{tmp_path}/in")
@@ -124,6 +162,18 @@ def test_streams(spark, tmp_path):
     assert {r.k: r.n for r in spark.table("timed").collect()} == {"a": 2, "b": 1}
 
 
+def test_last_writes_with_state(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "key string, seq long, value string").write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("key string, seq long, value string").parquet(f"{tmp_path}/in")
+        q = ingest.last_writes(stream).writeStream.outputMode("update").format("memory").queryName("last").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {r.key: r.value for r in spark.table("last").collect()} == {"a": "z", "b": "y"}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     path = f"{tmp_path}/cli"
     run = lambda *a: main([path, *a], spark)
