@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakecairn.errors import InvalidInput
 from lakecairn.functions.hashing import content_id
+from lakecairn.operators.ranges import numbered
 
 
 def create(values: DataFrame, value: str) -> DataFrame:
@@ -14,8 +15,9 @@ def create(values: DataFrame, value: str) -> DataFrame:
     return values.select(F.col(value).alias("value")).filter("value is not null").distinct().select(content_id(F.col("value")).alias("hash"), "value")
 
 
-def ordered(values: DataFrame) -> DataFrame:
-    return values.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("hash")))
+def ordered(values: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The values with their rank, from 1, by hash."""
+    return numbered(values, "hash", "rank", partitions).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def contains(values: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -39,10 +41,11 @@ def update(values: DataFrame, changes: DataFrame) -> DataFrame:
     return create(last, "value")
 
 
-def positions(rows: DataFrame, *order: Column | str, group: str | None = None) -> DataFrame:
-    """An ordered bag: every row keeps its place, duplicates too. Bags are numbered within their group."""
-    window = Window.partitionBy(group if group else F.lit(0)).orderBy(*order)
-    return rows.withColumn("pos", F.row_number().over(window).cast("bigint") - 1)
+def positions(rows: DataFrame, order: str, group: str | None = None) -> DataFrame:
+    """An ordered bag: every row keeps its place, duplicates too. One bag a group, or one of all rows."""
+    if group is None:
+        return numbered(rows, order, "pos")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("bigint") - 1)
 
 
 def append(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from lakecairn.functions.values import escape
 from lakecairn.operators.lineage import cut
+from lakecairn.operators.ranges import ranged, running, with_next
 
 #: Bits of an item's digest that must be set for it to end a block: 2**BITS items a block on average.
 BITS = 4
-#: Rows a level may have to be numbered in one task.
-ONE_TASK = 10_000
 MAX_LEVELS = 40
 
 
@@ -28,21 +27,8 @@ def ends_block(key: Column, value: Column, bits: int = BITS) -> Column:
 
 
 def block_ids(items: DataFrame, key: str, ends: str, out: str = "block", partitions: int | None = None) -> DataFrame:
-    """Number blocks 0, 1, ... along the order of key; a row whose ``ends`` is true is its block's last.
-
-    Ranges of keys are numbered on their own; then each adds the ends of the ranges before it,
-    a table of one row a range. A small table is numbered in one task.
-    """
-    flag = F.when(F.col(ends), 1).otherwise(0)
-    before = lambda w: F.coalesce(F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    if partitions is None and not items.limit(ONE_TASK + 1).count() > ONE_TASK:
-        return items.withColumn(out, before(Window.partitionBy(F.lit(0)).orderBy(key)))
-    ranged = items.repartitionByRange(partitions, key) if partitions else items.repartitionByRange(key)
-    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(F.sum(flag).alias("_n"))
-    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("_offset"))
-    own = ranged.withColumn("_own", before(Window.partitionBy("_range").orderBy(key)))
-    return own.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_own") + F.col("_offset")).drop("_own", "_offset", "_range")
+    """Number blocks 0, 1, ... along the order of key; a row whose ``ends`` is true is its block's last."""
+    return running(items, key, F.when(F.col(ends), 1).otherwise(0), out, partitions)
 
 
 def node_text(level: int, items: Column) -> Column:
@@ -111,10 +97,9 @@ def get(nodes: DataFrame, key: str) -> DataFrame:
     return leaf.select(F.explode("items").alias("i")).select("i.k", "i.v").filter(F.col("k") == key)
 
 
-def with_next(leaves: DataFrame, order: str = "first_key", group: Column | None = None) -> DataFrame:
+def neighbours(leaves: DataFrame, partitions: int | None = None) -> DataFrame:
     """Leaves with next_key, the first key of the right neighbour (null at the end)."""
-    window = Window.partitionBy(group if group is not None else F.lit(0)).orderBy(order)
-    return leaves.withColumn("next_key", F.lead(order).over(window))
+    return with_next(leaves, "first_key", "next_key", partitions)
 
 
 def block_of(keys: DataFrame, key: str, leaves: DataFrame) -> DataFrame:
@@ -125,7 +110,7 @@ def block_of(keys: DataFrame, key: str, leaves: DataFrame) -> DataFrame:
     """
     marks = leaves.select(F.col("first_key").alias("_k"), F.lit(0).alias("_kind"), F.col("block").alias("_block"), F.lit(None).cast(dict(keys.dtypes)[key]).alias(key))
     rows = keys.select(F.col(key).alias("_k"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_block"), key)
-    both = cut(marks.unionByName(rows).repartitionByRange("_k", "_kind").withColumn("_range", F.spark_partition_id()))
+    both = ranged(marks.unionByName(rows), "_k", "_kind")
     last = both.filter("_kind = 0").groupBy("_range").agg(F.max_by("_block", "_k").alias("_last"))
     ranges = both.select("_range").distinct().join(last, "_range", "left")
     carried = ranges.select("_range", F.last("_last", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))

@@ -69,7 +69,7 @@ def block_asof(spark, d):
 
 @query(_tree_sql(1, "select block, first_key, lead(first_key) over (order by first_key) as next_key from n0"))
 def block_right_neighbor(spark, d):
-    return tree.with_next(tree.blocks(items(spark, d), 0)).select("block", "first_key", "next_key")
+    return tree.neighbours(tree.blocks(items(spark, d), 0)).select("block", "first_key", "next_key")
 
 
 @query(

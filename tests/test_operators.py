@@ -119,14 +119,17 @@ def test_block_of_and_neighbours(spark):
     got = tree.block_of(spark.createDataFrame([(f"{i:06d}",) for i in range(-1, 401)], "q string"), "q", leaves).collect()
     for r in got:
         assert r.block == max((b for f, b in firsts if f <= r.q), default=None)
-    after = {r.first_key: r.next_key for r in tree.with_next(leaves).collect()}
-    assert after == {a[0]: b[0] if b else None for a, b in zip(firsts, [*firsts[1:], None])}
+    for partitions in (None, 5):
+        after = {r.first_key: r.next_key for r in tree.neighbours(leaves, partitions).collect()}
+        assert after == {a[0]: b[0] if b else None for a, b in zip(firsts, [*firsts[1:], None])}
 
 
 def test_sets(spark):
     v = lambda *xs: spark.createDataFrame([(x,) for x in xs], "value string")
     s = sets.create(v("a", "b", "a", None), "value")
     assert {r.value for r in s.collect()} == {"a", "b"}
+    many = sets.create(spark.range(200).select(F.col("id").cast("string").alias("v")), "v")
+    assert sorted(sets.ordered(many).collect()) == sorted(sets.ordered(many, 6).collect())
     assert {r.value for r in sets.union(s, sets.create(v("c"), "value")).collect()} == {"a", "b", "c"}
     assert {r.value for r in sets.except_(s, v("b")).collect()} == {"a"}
     ops = spark.createDataFrame([(0, "insert", "x"), (1, "remove", "x"), (2, "remove", "a"), (3, "insert", "y"), (4, "insert", "y")], "seq long, op string, value string")
