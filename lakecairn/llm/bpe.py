@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lakecairn.llm import textkernel as K
 
 #: Words kept between slices.
-CACHE = 400_000
+CACHE = 120_000
 #: Marks the hash of a token that ends a word.
 _END = np.uint64(0xA5A5A5A5DEADBEEF)
 
@@ -320,7 +320,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(at, len(texts)), "ids": pa.array(ids, pa.list_(pa.int32()))})
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(K.tidy(run), "doc_id long, ids array<int>")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -346,4 +346,4 @@ def digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 at += len(texts)
                 yield pa.record_batch(cols)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST + (", ids array<int>" if ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(run), DIGEST + (", ids array<int>" if ids else ""))

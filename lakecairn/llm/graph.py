@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of ids that may be broadcast, after counting them; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Edges that one task may take together, after counting them; more go through rounds of joins.
+ONE_TASK_EDGES = 500_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -29,13 +34,36 @@ def small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges given, by union and find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        nodes = np.array(sorted(up), np.int64)
+        yield pa.record_batch({"node": pa.array(nodes), "component": pa.array([root(x) for x in nodes.tolist()], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Each round points every node at its smallest neighbour (or itself), follows the pointer once
-    more, and contracts the edges; a round at least halves the nodes that still have edges.
+    A counted, bounded number of edges is joined up in one task. More go through rounds: each points
+    every node at its smallest neighbour (or itself), follows the pointer once more, and contracts the
+    edges; a round at least halves the nodes that still have edges.
     """
     left = checkpointed(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if left.count() <= ONE_TASK_EDGES:
+        return left.coalesce(1).mapInArrow(_union, "node long, component long")
     found = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -51,6 +79,4 @@ def components(edges: DataFrame) -> DataFrame:
         at, to = jump.select("a", F.col("p").alias("pa")), jump.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         moved = left.join(at, "a").join(to, "b").filter("pa <> pb")
         left = checkpointed(moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
-    if found is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found

@@ -41,7 +41,7 @@ from lakecairn.llm.graph import checkpointed, components, small
 #: Percent of the union that two sets must share.
 PERCENT = 80
 #: Shingles counted together for finding frequent ones, and copies among them that make one frequent.
-COUNTED, FREQUENT = 1 << 20, 4
+COUNTED, FREQUENT = 1 << 19, 4
 #: Most frequent shingles that are known to every task (a bound: it orders shingles, and drops none).
 KNOWN = 100_000
 #: Shingles compared at once; a larger cluster is cut into blocks.
@@ -424,13 +424,13 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = checkpointed(docs.mapInArrow(K.tidy(_scan), SCAN))
     rows = scan.filter("kind = 0").select("doc_id", "n", "k1", "k2")
-    sizes = rows.filter(f"n between 1 and {2 * LARGEST_SMALL}").groupBy("n").count().collect()
-    limit = boundary({r["n"]: r["count"] for r in sizes})
+    sizes = rows.groupBy(F.least("n", F.lit(2 * LARGEST_SMALL + 1)).alias("n")).agg(F.count("*").alias("count"), F.sum("n").alias("total")).collect()
+    limit = boundary({r["n"]: r["count"] for r in sizes if 1 <= r["n"] <= 2 * LARGEST_SMALL})
+    total = sum(r["total"] for r in sizes)
     least = -(-PERCENT * (limit + 1) // 100)  # smaller sets meet all their partners by subsets
     often = scan.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "k1").limit(KNOWN).toArrow()
     known, df = often["k1"].to_numpy().view(np.uint64), often["df"].to_numpy()
     order = np.argsort(known)
-    total = rows.agg(F.sum("n")).first()[0] or 0
     layout = spark.sparkContext.broadcast(Layout.of(total, known[order], df[order]))
 
     classes = checkpointed(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))

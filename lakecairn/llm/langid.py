@@ -168,7 +168,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 8) -> Model:
     rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, each / counts[k]))])
     unit = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
     drawn = rows.withColumn("order", F.xxhash64("text")).filter(unit < rate[F.col("lang")]).limit(2 * sample + 100 * len(langs))
-    table = drawn.mapInArrow(_features, "lang string, order long, idx array<int>, share array<float>").toArrow()
+    table = drawn.mapInArrow(K.tidy(_features), "lang string, order long, idx array<int>, share array<float>").toArrow()
     table = table.sort_by([("order", "ascending"), ("lang", "ascending")]).combine_chunks()
     data = [
         (langs.index(lang), np.asarray(i.values), np.asarray(s.values))
@@ -187,6 +187,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 8) -> Model:
             grad[idx] += g * g
             weights[idx] += 1.0 * g / np.sqrt(grad[idx])
             bias += 0.01 / (1 + epoch) * pull
+    del table
+    data.clear()
+    K.release()
     return Model(langs, code, weights.astype(np.float32), bias)
 
 
@@ -224,7 +227,7 @@ def predict(docs: DataFrame, model: Model, ambiguity: float = 0.1) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(run), SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, epochs: in
                 yield pa.record_batch(cols | {"idx": pa.ListArray.from_arrays(bound, at), "val": pa.ListArray.from_arrays(bound, pa.array(value))})
 
     table = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
-    table = table.mapInArrow(run, "doc_id long, domain string, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    table = table.mapInArrow(K.tidy(run), "doc_id long, domain string, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
     data = [(np.asarray(i.values), np.asarray(v.values, np.float64), domains.index(y)) for i, v, y in zip(table["idx"], table["val"], table["domain"].to_pylist()) if len(i)]
     rows_with = np.bincount(np.concatenate([i for i, *_ in data]), minlength=quality.BUCKETS) if data else np.zeros(quality.BUCKETS)
     data = [(i[k], x[k], y) for i, x, y in data for k in [rows_with[i] >= LEAST_ROWS]]
@@ -118,6 +118,9 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, epochs: in
             w[i] -= 0.3 * g / np.sqrt(g2[i])
             b2 += p * p
             bias -= 0.05 * p / np.sqrt(b2)
+    del table
+    data.clear()
+    K.release()
     return Classifier(domains, w.astype(np.float32), bias)
 
 
@@ -140,7 +143,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(p) + 1) * p.shape[1]).astype(np.int32)), pa.array(p.ravel()))
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "tokens": pa.array(np.concatenate(n)), "posteriors": lists})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, POSTERIORS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(run), POSTERIORS)
 
 
 def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -179,7 +182,7 @@ def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], toleranc
                         total[width:] += ((p * t[:, None]).T @ p).ravel()
             yield pa.record_batch({"v": pa.array([total], pa.list_(pa.float64()))})
 
-        per = soft.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        per = soft.mapInArrow(K.tidy(run), "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
         found = dict(per.collect())  # one number a domain, or a pair of domains
         return np.array([found.get(i, 0.0) for i in range(len(found))])
 
@@ -215,7 +218,7 @@ def rates(soft: DataFrame, found: Fit) -> DataFrame:
                 r = _rates(_matrix(batch.column("posteriors"), width), steps)
                 yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "tokens", "posteriors")} | {"rate": pa.array(r)})
 
-    return soft.mapInArrow(run, POSTERIORS + ", rate double")
+    return soft.mapInArrow(K.tidy(run), POSTERIORS + ", rate double")
 
 
 def copies(rate: Column, doc_id: str = "doc_id") -> Column:

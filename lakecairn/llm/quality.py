@@ -152,9 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                 )
 
     table = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
-    table = table.mapInArrow(run, "doc_id long, y int, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    table = table.mapInArrow(K.tidy(run), "doc_id long, y int, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
     data = [(np.asarray(i.values), np.asarray(v.values, np.float64), y) for i, v, y in zip(table["idx"], table["val"], table["y"].to_pylist()) if len(i)]
-    return ftrl(data) if data else Model(np.zeros(BUCKETS), 0.0)
+    del table
+    model = ftrl(data) if data else Model(np.zeros(BUCKETS), 0.0)
+    data.clear()
+    K.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -169,4 +173,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 p = np.concatenate(parts)
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(run), "doc_id long, score double, predicted int")

@@ -104,7 +104,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 cols = {f: pa.array(np.concatenate([p[f] for p in parts]).astype(np.int64)) for f in FIELDS}
                 yield pa.record_batch({"doc_id": batch.column("doc_id")} | cols)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in FIELDS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(run), "doc_id long, " + ", ".join(f"{f} long" for f in FIELDS))
 
 
 @dataclass(frozen=True)

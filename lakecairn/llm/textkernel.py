@@ -37,14 +37,20 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def run(batches: Iterator) -> Iterator:
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    _powers.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1

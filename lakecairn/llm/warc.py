@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import extract
+from lakecairn.llm import textkernel as K
 
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
@@ -152,5 +153,5 @@ def build(pages: DataFrame, records: bool = True, date: str = DATE) -> DataFrame
                         rows.append((page_id, url, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Date"], source["WARC-Payload-Digest"], source["WARC-Block-Digest"], h["WARC-Block-Digest"], len(data), n_links, hashlib.sha256(whole).hexdigest(), whole if records else None))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
 
-    out = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, RECORDS)
+    out = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(K.tidy(run), RECORDS)
     return out if records else out.drop("record")

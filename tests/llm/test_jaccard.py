@@ -84,6 +84,7 @@ def test_blocks_boundaries_and_frequent_shingles(spark, monkeypatch):
     compare(spark, rows)
     monkeypatch.setattr(jaccard, "boundary", lambda counts: 14)
     monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", 0)
     compare(spark, rows)
 
 
@@ -111,7 +112,9 @@ def test_every_pair_within_reach_shares_enough():
     assert jaccard.boundary({}) == 0 and 0 < jaccard.boundary(dict.fromkeys(range(1, 41), 10)) <= jaccard.LARGEST_SMALL
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_components_of_a_long_chain(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", bound)
     edges = spark.range(300).select(F.pmod(F.col("id") * 7919, F.lit(300)).alias("a"), F.pmod((F.col("id") + 1) * 7919, F.lit(300)).alias("b")).filter("id <> 150")
     assert {r.component for r in graph.components(edges).collect()} == {0}
     assert graph.components(edges.limit(0)).count() == 0
