@@ -8,7 +8,9 @@ Every LENGTH-byte window has an anchor: its smallest Q-gram by hash, the leftmos
 equals. Equal windows have equal anchors at equal places, so
 
 1. anchors that occur once in the corpus settle all their windows as unique;
-2. the windows of each other anchor start in that Q-gram's bucket. Buckets are refined
+2. the windows of each other anchor start in that Q-gram's bucket; the buckets of the most
+   frequent Q-grams are told apart by the NEAR bytes before or after, which every window of
+   the part has, so that a common line does not gather its documents. Buckets are refined
    by sorting windows on the bucket pointers of a later offset: pointers at depth d give
    those at depth 2d, recursively, until the whole window is compared; a window alone in
    its bucket drops out;
@@ -36,17 +38,22 @@ from lakecairn.llm import textkernel as K
 
 LENGTH, Q = 100, 32
 #: Window starts whose anchors are found at once; bytes of context refined at once.
-SEGMENT, REFINED = 1 << 19, 1 << 21
+SEGMENT, REFINED = 1 << 19, 1 << 19
+#: Bytes beside a frequent anchor that tell its windows apart: half of what a window has around it.
+NEAR = (LENGTH - Q) // 2
+#: Occurrences in a batch that may make an anchor frequent, and the most frequent ones known to every task (a bound:
+#: it says how buckets are dealt out, and drops none).
+FREQUENT, KNOWN = 32, 100_000
 _LOW = np.uint64((1 << 20) - 1)
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first and last window start, the anchor's hash, document; and the hash sums."""
+def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: first and last window start, the anchor's hash, place, document; and the hash sums."""
     sums = K.prefix_hash(buf)
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.astype(np.uint64), none, sums
+        return none, none, none.astype(np.uint64), none, none, sums
     inverse = K.powers(n + 1)[1]
     grams = K.mix((sums[q:] - sums[:-q]) * inverse[: n - q + 1] + np.uint64(q))
     wide = length - q + 1
@@ -75,9 +82,9 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q)
         lasts.append(at[np.append(begin[1:], len(at)) - 1] + a)
         places.append(place[begin] + a)
     if not firsts:
-        return none, none, none.astype(np.uint64), none, sums
+        return none, none, none.astype(np.uint64), none, none, sums
     first, last, place = map(np.concatenate, (firsts, lasts, places))
-    return first, last, grams[place], np.searchsorted(off, first, "right") - 1, sums
+    return first, last, grams[place], place, np.searchsorted(off, first, "right") - 1, sums
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -89,31 +96,56 @@ FOUND = "key long, gram long, doc_id long, state int"
 ALONE, STANDS, REPEATED = 0, 1, 2
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of a batch of documents."""
+def _batch_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of every anchor of a batch, by hash."""
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    gram, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, _, buf, off in K.slices(batch.column("text")):
+        _, _, g, _, d, _ = anchors(buf, off)
+        gram.append(g)
+        doc.append(ids[first + d].astype(np.int64))
+    g, d = np.concatenate(gram), np.concatenate(doc)
+    order = np.argsort(g, kind="stable")
+    return g[order], d[order]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors (gram, n) that are frequent in a batch."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        gram, doc = [], []
-        for first, _, buf, off in K.slices(batch.column("text")):
-            _, _, g, d, _ = anchors(buf, off)
-            gram.append(g)
-            doc.append(ids[first + d])
-        if not gram:
-            continue
-        g, d = np.concatenate(gram), np.concatenate(doc).astype(np.int64)
-        order = np.argsort(g, kind="stable")
-        g, d = g[order], d[order]
-        if not len(g):
-            continue
-        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        g, _ = _batch_anchors(batch)
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
         count = np.diff(np.append(begin, len(g)))
-        state = np.where(count > 1, STANDS, ALONE).astype(np.int32)
-        yield _record(FOUND, _i64(g[begin]), _i64(g[begin]), d[begin], state)
-        many = np.repeat(count > 1, count)
-        if many.any():
-            pairs = np.unique(np.stack([d[many], _i64(g[many])], 1), axis=0)
-            who = np.ascontiguousarray(pairs[:, 0])
-            yield _record(FOUND, _i64(K.mix(who.astype(np.uint64))), pairs[:, 1], who, np.full(len(pairs), REPEATED, np.int32))
+        often = count >= FREQUENT
+        yield pa.record_batch({"gram": pa.array(_i64(g[begin[often]])), "n": pa.array(count[often])})
+
+
+def _among(known: np.ndarray, g: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(g), bool)
+    return known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+
+
+def _find(shared):
+    """The anchors of a batch of documents; the known ones are repeated anyway and stay out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, d = _batch_anchors(batch)
+            rare = ~_among(shared.value, g)
+            g, d = g[rare], d[rare]
+            if not len(g):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            count = np.diff(np.append(begin, len(g)))
+            state = np.where(count > 1, STANDS, ALONE).astype(np.int32)
+            yield _record(FOUND, _i64(g[begin]), _i64(g[begin]), d[begin], state)
+            many = np.repeat(count > 1, count)
+            if many.any():
+                pairs = np.unique(np.stack([d[many], _i64(g[many])], 1), axis=0)
+                who = np.ascontiguousarray(pairs[:, 0])
+                yield _record(FOUND, _i64(K.mix(who.astype(np.uint64))), np.ascontiguousarray(pairs[:, 1]), who, np.full(len(pairs), REPEATED, np.int32))
+
+    return run
 
 
 def _record(schema: str, *cols) -> pa.RecordBatch:
@@ -172,44 +204,66 @@ def _binary(flat: np.ndarray, bound: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer(bound.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(known: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, place: np.ndarray, d: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches (from, to), bucket and document of runs of windows a to b.
+
+    A frequent anchor's windows are cut in two: those that have NEAR bytes after the anchor, and the others,
+    which have more than NEAR before it.
+    """
+    hot = _among(known, g)
+    split = place - NEAR  # windows from here on have NEAR bytes after the anchor
+    after, before = hot & (b >= split), hot & (a < split)
+    m = np.uint64(0xD6E8FEB86659FD93)
+    right = K.mix(g[after] * m + K.span_hash(sums, place[after] + Q, place[after] + Q + NEAR))
+    left = K.mix(g[before] * m - K.span_hash(sums, place[before] - NEAR, place[before]))
+    first = np.concatenate([a[~hot], np.maximum(a, split)[after], a[before]])
+    last = np.concatenate([b[~hot], b[after], np.minimum(b, split - 1)[before]])
+    return first, last + LENGTH, np.concatenate([g[~hot], right, left]), np.concatenate([d[~hot], d[after], d[before]])
+
+
+def _stretches(shared):
     """For each repeated anchor, the stretch that its windows cover; equal stretches of a batch but the first are settled."""
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        lists = batch.column("grams")
-        bound = lists.offsets.to_numpy().astype(np.int64)
-        valid = lists.is_valid().to_numpy(zero_copy_only=False)
-        values = lists.values.to_numpy().view(np.uint64) if len(lists.values) else np.zeros(0, np.uint64)
-        parts, bufs = [], []
-        for first, last, buf, off in K.slices(batch.column("text")):
-            if not valid[first:last].any():
-                continue
-            doc_of = np.repeat(np.arange(last - first), np.where(valid[first:last], np.diff(bound[first : last + 1]), 0))
-            mine = values[np.concatenate([np.arange(bound[i], bound[i + 1]) for i in range(first, last) if valid[i]])]
-            wanted = np.sort(K.mix(mine ^ K.mix(doc_of.astype(np.uint64) + np.uint64(1))))
-            a, b, g, d, sums = anchors(buf, off)
-            if not len(a) or not len(wanted):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            lists = batch.column("grams")
+            bound = lists.offsets.to_numpy().astype(np.int64)
+            width = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(bound), 0)
+            values = lists.values.to_numpy().view(np.uint64) if len(lists.values) else np.zeros(0, np.uint64)
+            parts, bufs = [], []
+            for first, last, buf, off in K.slices(batch.column("text")):
+                if not named[first:last].any():
+                    continue
+                doc_of = np.repeat(np.arange(last - first), width[first:last])
+                mine = values[np.concatenate([np.arange(bound[i], bound[i] + width[i]) for i in range(first, last)])]
+                wanted = np.sort(K.mix(mine ^ K.mix(doc_of.astype(np.uint64) + np.uint64(1))))
+                a, b, g, place, d, sums = anchors(buf, off)
+                hit = _among(wanted, K.mix(g ^ K.mix(d.astype(np.uint64) + np.uint64(1)))) | _among(known, g)
+                hit &= named[first + d]
+                if not hit.any():
+                    continue
+                a, b, g, d = _parts(known, a[hit], b[hit], g[hit], place[hit], d[hit], sums)
+                parts.append((g, K.span_hash(sums, a, b), ids[first + d].astype(np.int64), a - off[d], b - off[d], a, np.full(len(a), len(bufs))))
+                bufs.append(buf)
+            if not parts:
                 continue
-            key = K.mix(g ^ K.mix(d.astype(np.uint64) + np.uint64(1)))
-            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            hit = wanted[at] == key
-            a, b, g, d = a[hit], b[hit] + LENGTH, g[hit], d[hit]
-            parts.append((g, K.span_hash(sums, a, b), ids[first + d].astype(np.int64), a - off[d], b - off[d], a, np.full(len(a), len(bufs))))
-            bufs.append(buf)
-        if not parts:
-            continue
-        g, text, doc, start, stop, a, which = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, doc, text, g))
-        same = np.concatenate([[False], (text[order][1:] == text[order][:-1]) & (g[order][1:] == g[order][:-1])])
-        lead, rest = order[~same], order[same]
-        if len(rest):
-            d, s, e = _merge(doc[rest], start[rest], stop[rest])
-            yield _record(STRETCH, _i64(K.mix(d.astype(np.uint64))), pa.nulls(len(d), pa.int64()), d, s, e, pa.nulls(len(d), pa.binary()))
-        for k, buf in enumerate(bufs):
-            mine = lead[which[lead] == k]
-            if len(mine):
-                size = stop[mine] - start[mine]
-                yield _record(STRETCH, _i64(g[mine]), _i64(g[mine]), doc[mine], start[mine], stop[mine], _binary(*_spans(buf, a[mine], a[mine] + size)))
+            g, text, doc, start, stop, a, which = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((start, doc, text, g))
+            same = np.concatenate([[False], (text[order][1:] == text[order][:-1]) & (g[order][1:] == g[order][:-1])])
+            lead, rest = order[~same], order[same]
+            if len(rest):
+                d, s, e = _merge(doc[rest], start[rest], stop[rest])
+                yield _record(STRETCH, _i64(K.mix(d.astype(np.uint64))), pa.nulls(len(d), pa.int64()), d, s, e, pa.nulls(len(d), pa.binary()))
+            for k, buf in enumerate(bufs):
+                mine = lead[which[lead] == k]
+                if len(mine):
+                    size = stop[mine] - start[mine]
+                    yield _record(STRETCH, _i64(g[mine]), _i64(g[mine]), doc[mine], start[mine], stop[mine], _binary(*_spans(buf, a[mine], a[mine] + size)))
+
+    return run
 
 
 def _pointers(keys: np.ndarray) -> np.ndarray:
@@ -284,7 +338,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gram, doc, start, stop = (table[c].to_numpy() for c in ("gram", "doc_id", "start", "stop"))
     text = []
     for chunk in table["bytes"].chunks:
-        for _, _, buf, off in K.slices(chunk, 1 << 22):
+        for _, _, buf, off in K.slices(chunk):
             text.append(K.span_hash(K.prefix_hash(buf), off[:-1], off[1:]))
     text = np.concatenate(text)
     order = np.lexsort((start, doc, text, gram))
@@ -325,10 +379,14 @@ def unique_ids(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def cuts(docs: DataFrame) -> DataFrame:
     """doc_id and its list of intervals (start, stop) of bytes to remove; docs: doc_id (unique, or null) and text."""
-    found = docs.filter("doc_id is not null").mapInArrow(_find, FOUND).repartition("key").mapInArrow(_repeated, "doc_id long, gram long")
+    named = docs.filter("doc_id is not null")
+    often = named.mapInArrow(K.tidy(_frequent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    often = often.orderBy(F.desc("n"), "gram").limit(KNOWN).toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(often["gram"].to_numpy().view(np.uint64)))
+    found = named.mapInArrow(K.tidy(_find(known)), FOUND).repartition("key").mapInArrow(K.tidy(_repeated), "doc_id long, gram long")
     grams = found.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     both = docs.join(grams, "doc_id", "left").select("doc_id", "text", "grams")
-    parts = both.mapInArrow(_stretches, STRETCH).repartition("key").mapInArrow(_refine, CUT)
+    parts = both.mapInArrow(K.tidy(_stretches(known)), STRETCH).repartition("key").mapInArrow(K.tidy(_refine), CUT)
     return parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
@@ -375,5 +433,5 @@ def dedup(docs: DataFrame, text: bool = False, carry: tuple[str, ...] = ()) -> D
                 done += len(out)
                 out.clear()
 
-    out = rows.join(side, "doc_id", "left").select("doc_id", "text", "cuts", *carry).mapInArrow(run, schema)
+    out = rows.join(side, "doc_id", "left").select("doc_id", "text", "cuts", *carry).mapInArrow(K.tidy(run), schema)
     return out.withColumn("doc_id", F.expr(f"doc_id div {times}")) if times > 1 else out

@@ -56,6 +56,19 @@ def test_equals_brute_force(spark, seed):
     assert result(suffix.dedup(df)) == brute(rows)
 
 
+def test_common_lines_and_passages(spark):
+    """Anchors known as frequent, inside lines shorter than a window and in passages longer than one."""
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    line, passage = letters(60) + "\n", letters(300)
+    rows = []
+    for i in range(150):
+        rows.append((i, letters(rnd.randint(0, 90)) + rnd.choice([line, line * 2, passage, passage[rnd.randint(0, 99) :], ""]) + letters(rnd.randint(0, 90)) + rnd.choice([line, ""])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert result(suffix.dedup(df)) == brute(rows)
+    assert df.mapInArrow(suffix._frequent, "gram long, n long").count() > 0
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert result(registry.op10_suffix_dedup(spark, SF)) == brute([(r.doc_id, r.text) for r in docs])
