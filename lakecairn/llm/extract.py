@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakecairn.llm import textkernel as K
+
 #: Tag names of the HTML standard by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math noembed noframes xmp object".split())
@@ -38,8 +40,10 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table body html".split())
 #: Words in class, id and role that mark what stands around an article.
 AROUND = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline-share comment comments cookie cookies disclaimer disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget complementary contentinfo alert alertdialog".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header legal login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget complementary contentinfo alert alertdialog".split()
 )
+#: First parts of class names that tell of a page's state, not of an element's kind.
+STATES = frozenset("has with without no is".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -57,9 +61,10 @@ def _is_around(tag: str, attrs: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+        if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
             for word in value.split():
-                if word in AROUND or not AROUND.isdisjoint(re.split(r"[-_]+", word)):
+                parts = re.split(r"[-_]+", word)
+                if parts[0] not in STATES and not AROUND.isdisjoint(parts):
                     return True
     return False
 
@@ -234,4 +239,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h) for h in part.column("html").to_pylist()]
                 yield pa.record_batch({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(K.tidy(run), SCHEMA)

@@ -24,6 +24,13 @@ def test_page_without_article():
     assert got[0] == "Head" and got[2] == "Short." and len(got) == 4
 
 
+def test_wrappers_and_readers_comments():
+    page = """<BODY CLASS="with-sidebar"><DIV class="wrap has-sidebar"><article class='post'><h2>T</h2><p>Text, as such.</p></article>
+    <section id=comments><article class=comment><p>A reader says, at great length, that it is so.</p></article></section>
+    <div role="complementary"><p>Else, where.</p></div><div hidden><p>Not, seen.</p></div></DIV></BODY>"""
+    assert extract.main_text(page) == "T\nText, as such."
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "plain words only", "x"), (4, "u", "<p", "x"), (5, "u", "<div><p>a<p>b</div></b>c", "x"), (5, "u", "<div><p>a<p>b</div></b>c", "x"), (6, "u", "<article>" + "<p>word, " * 20000, "x"), (None, "u", "<script>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
