@@ -60,8 +60,9 @@ class Engine:
     def tree_of(self, root: str) -> DataFrame:
         """The nodes of a version."""
         parts = _read(self.spark, f"{self.path}/roots", ROOTS).filter(F.col("root") == root)
-        stored = self.nodes().select("addr", "first_key", "n", "items").dropDuplicates(["addr"])
-        return parts.join(stored, "addr").select("level", "block", "first_key", "n", "items", "addr")
+        stored = self.nodes().select("addr", "first_key", "n", "items")
+        found = parts.join(stored, "addr").dropDuplicates(["level", "block"])  # two writers may store one node twice
+        return found.select("level", "block", "first_key", "n", "items", "addr")
 
     def write_tree(self, nodes: DataFrame) -> str:
         """Store a version's new nodes and its list of nodes; returns the root's address."""

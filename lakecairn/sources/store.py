@@ -43,7 +43,8 @@ class ContentStore:
         """Write blobs that are not there yet; returns their ids. Writing again changes nothing."""
         new = blobs.select(F.col(data).cast("binary").alias("bytes")).filter("bytes is not null").withColumn("cid", content_id(F.col("bytes")))
         out = missing(new, self.frame()).withColumn("shard", F.substring("cid", 1, 2))
-        out.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
+        # Few files a folder, and more tasks for a folder that gets much.
+        out.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
         return new.select("cid").distinct()
 
     def exists(self, cids: DataFrame) -> DataFrame:
