@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Hashes kept, and words of a shingle.
 K, WORDS = 128, 5
 #: Rows of an id range, and ranges at most: their table is broadcast.
-RANGE_ROWS, MAX_RANGES = 2000, 200_000
+RANGE_ROWS, MAX_RANGES = 500, 200_000
 
 _SPAN = 2.0**64
 
