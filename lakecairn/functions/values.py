@@ -90,8 +90,8 @@ def encode_columns(*cols: Column) -> Column:
 def parse_scalar(c: Column) -> Column:
     """A scalar from what a user typed: digits are numbers, ``u32:``, ``str:`` and ``addr:`` (64 hex digits) say the type."""
     kind = F.lower(F.regexp_extract(c, r"^(?i)(u32|str|addr):", 1))
-    rest = F.when(kind != "", F.expr(f"substring({_name(c)}, length({_name(c)}) - length(regexp_replace({_name(c)}, '^(?i)(u32|str|addr):', '')) + 1)")).otherwise(c)
-    number = F.expr(f"try_cast(regexp_replace({_name(c)}, '^(?i)u32:', '') as bigint)")
+    rest = F.regexp_replace(c, r"^(?i)(?:u32|str|addr):", "")
+    number = rest.try_cast("bigint")
     is_number = ((kind == "u32") | ((kind == "") & c.rlike("^[0-9]+$"))) & F.coalesce(u32_ok(number), F.lit(False))
     is_addr = (kind == "addr") & rest.rlike("^[0-9a-fA-F]{64}$")
     return (
@@ -102,10 +102,6 @@ def parse_scalar(c: Column) -> Column:
     )
 
 
-def _name(c: Column) -> str:
-    return c._jc.toString()
-
-
 def parse_path(c: Column) -> Column:
     """The segments of a path: cut at /, where \\/ stands for / itself; empty text is the empty path."""
     parts = F.split(c, r"(?<!\\)/")
