@@ -44,8 +44,9 @@ PERCENT = 80
 COUNTED, FREQUENT = 1 << 19, 4
 #: Most frequent shingles that are known to every task (a bound: it orders shingles, and drops none).
 KNOWN = 100_000
-#: Shingles compared at once; a larger cluster is cut into blocks.
-VOLUME = 1 << 20
+#: Shingles compared at once, and shingles times sets, which is what scanning their lists may cost; a cluster over
+#: either is cut into blocks.
+VOLUME, WORK = 1 << 20, 1 << 28
 #: Shingles counted at once, about, and ranges of them at most.
 PART, MAX_PARTS = 1 << 19, 1 << 16
 #: Largest size that may be a small set.
@@ -504,7 +505,10 @@ def join(docs: DataFrame) -> DataFrame:
 
     member = clusters.join(classes.select(F.col("first").alias("node"), "n", "copies"), "node")
     member = checkpointed(member.groupBy("node", "component").agg(F.max("n").alias("n"), F.max("copies").alias("copies")))
-    volume = member.groupBy("component").agg(F.ceil(F.sum("n") / VOLUME).alias("blocks")).filter("blocks > 1")
+    # A part holds two blocks, so its work is that of the cluster divided by the square of half their number.
+    blocks = F.ceil(F.greatest(F.sum("n") / VOLUME, 2 * F.sqrt(F.count("*").cast("double") * F.sum("n") / WORK)))
+    over = (F.sum("n") > VOLUME) | (F.count("*").cast("double") * F.sum("n") > WORK)
+    volume = member.groupBy("component").agg(F.when(over, blocks).otherwise(F.lit(1)).alias("blocks")).filter("blocks > 1")
     n_cut = volume.count()
     member = member.join(small(volume, n_cut), "component", "left")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -78,6 +78,8 @@ def test_equals_brute_force(spark, seed):
 
 def test_blocks_boundaries_and_frequent_shingles(spark, monkeypatch):
     rows = near_copies(3, 250)
+    monkeypatch.setattr(jaccard, "WORK", 2000)
+    compare(spark, rows)
     monkeypatch.setattr(jaccard, "VOLUME", 100)
     compare(spark, rows)
     monkeypatch.setattr(jaccard, "boundary", lambda counts: 0)
