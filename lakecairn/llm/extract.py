@@ -3,9 +3,11 @@
 A page's text runs are gathered into blocks, each with its root-to-leaf path of
 block tags. Text length and punctuation are summed per path; the ratios (per block)
 are put back on the sequence of blocks, smoothed over neighbours, fused into one
-value, averaged per path again, and compared with the page's threshold. The paths
-above it name the content container; every block of that container is kept, whole,
-unless a menu, header, footer, sidebar, notice, advert, form or comment holds it.
+value, averaged per path again, and compared with the page's threshold. The content
+container is the article or main element, or else the smallest element that holds all
+text on paths above the threshold. Every block of it is kept, whole, unless a menu,
+header, footer, sidebar, notice, advert, form or comment holds it, or its path is below
+the threshold and stands in an element of its own that is mostly links.
 
 Defined cases: null or empty html gives empty text and 0 characters; a page without
 content blocks the same; broken or unclosed markup is read as far as it goes;
@@ -37,6 +39,10 @@ MAIN = frozenset("article main".split())
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Opening the key ends an open element of its set, up to the nearest list or table.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
+#: Elements that shape text within a container and are none themselves.
+SHAPES = frozenset("p li ul ol dl dt dd blockquote pre td th tr tbody thead table figure figcaption".split()) | HEADINGS
+#: Elements that hold the whole page.
+PAGE = frozenset("html body".split())
 SCOPES = frozenset("ul ol dl table body html".split())
 #: Words in class, id and role that mark what stands around an article.
 AROUND = frozenset(
@@ -70,16 +76,23 @@ def _is_around(tag: str, attrs: str) -> bool:
 
 
 class Block:
-    __slots__ = ("path", "text", "linked", "around", "heading", "main")
+    __slots__ = ("path", "text", "linked", "around", "main", "within")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, around: bool, heading: bool, main: bool):
-        self.path, self.text, self.linked, self.around, self.heading, self.main = path, text, linked, around, heading, main
+    def __init__(self, path: tuple[str, ...], text: str, linked: int, around: bool, main: bool, within: tuple[int, ...]):
+        self.path, self.text, self.linked, self.around, self.main, self.within = path, text, linked, around, main, within
+
+    def container(self) -> tuple[int, ...]:
+        """The elements down to the one that holds the block beside others."""
+        end = len(self.path)
+        while end and self.path[end - 1] in SHAPES:
+            end -= 1
+        return self.within[:end]
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether it stands around the article
+    stack: list[tuple[str, bool, int]] = []  # tag, whether it stands around the article, where it opens
     runs: list[str] = []
     linked, n_link = [0], [0]
 
@@ -88,17 +101,18 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(runs))).strip()
             runs.clear()
             if text:
-                tags = [t for t, _ in stack]
+                tags = [t for t, *_ in stack]
                 path = tuple(t for t in tags if t not in INLINE)
+                within = tuple(k for t, _, k in stack if t not in INLINE)
                 heading = bool(HEADINGS.intersection(path))
                 inside = next((i for i, t in enumerate(tags) if t in MAIN), None)
                 kept_header = heading and inside is not None
-                around = any(a and not (kept_header and t == "header" and i > inside) for i, (t, a) in enumerate(stack))
-                out.append(Block(path, text, linked[0], around, heading, inside is not None))
+                around = any(a and not (kept_header and t == "header" and i > inside) for i, (t, a, _) in enumerate(stack))
+                out.append(Block(path, text, linked[0], around, inside is not None, within))
             linked[0] = 0
 
     def pop_to(i: int) -> None:
-        for tag, _ in stack[i:]:
+        for tag, *_ in stack[i:]:
             n_link[0] -= tag == "a"
         del stack[i:]
 
@@ -130,7 +144,7 @@ def blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
                 pop_to(i)
-            elif all(t in INLINE for t, _ in stack[i:]):  # an inline end tag closes no block
+            elif all(t in INLINE for t, *_ in stack[i:]):  # an inline end tag closes no block
                 n_link[0] -= tag == "a"
                 del stack[i]
             continue
@@ -164,7 +178,7 @@ def blocks(page: str) -> list[Block]:
         around = _is_around(tag, attrs)
         if tag in INLINE and around:
             around = any(k in attrs.lower() for k in ("hidden", "display"))
-        stack.append((tag, around))
+        stack.append((tag, around, m.start()))
         n_link[0] += tag == "a"
     flush()
     return out
@@ -201,29 +215,35 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
     value = path_values(inner)
     spread = float(np.std(list(value.values())))
     least = min(max(value.values()), strength * spread)
-    weight = defaultdict(float)
-    for b in inner:
-        if value[b.path] >= least:
-            weight[_container(b.path)] += len(b.text) - b.linked
-    best = max(weight, key=lambda p: (weight[p], -len(p), p))
-    heads = tuple(p for p in weight if weight[p] >= 0.5 * weight[best])
-    homes = {best, *heads}
-    kept = [b for b in inner if any(b.path[: len(h)] == h for h in homes)]
-    if not any(b.main for b in kept):  # outside an article, lists of links are menus
-        kept = [b for b in kept if b.heading or b.linked < 0.5 * len(b.text)]
-    return "\n".join(b.text for b in kept)
-
-
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """What holds the blocks of a path: the path without its last block, up to the article if there is one."""
-    for i, t in enumerate(path):
-        if t in MAIN:
-            return path[: i + 1]
-    drop = {"p", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "thead", "table", "figure", "figcaption"} | HEADINGS
-    end = len(path)
-    while end > 1 and path[end - 1] in drop:
-        end -= 1
-    return path[:end]
+    above = [b for b in inner if value[b.path] >= least]
+    strong = [b for b in above if not _is_linked([b])] or above
+    if any(b.main for b in inner):
+        kept, own = inner, lambda b: b.path[len(b.container()) - 1] in MAIN
+    else:
+        home = _common([b.container() for b in strong])
+        kept = [b for b in inner if b.within[: len(home)] == home]
+        whole = not home or strong[0].path[len(home) - 1] in PAGE
+        own = lambda b: not whole and b.container() == home
+    # A container with text above the threshold, or around such text, is no list of links.
+    full = {b.container()[:k] for b in strong for k in range(len(b.container()) + 1)}
+    weak = defaultdict(list)
+    for b in kept:
+        if value[b.path] < least and not own(b):
+            where = b.container()
+            weak[where if where not in full else (where, b.path)].append(b)
+    links = {id(b) for group in weak.values() if _is_linked(group) for b in group}
+    return "\n".join(b.text for b in kept if id(b) not in links)
+
+
+def _is_linked(group: list[Block]) -> bool:
+    return sum(b.linked for b in group) >= 0.5 * sum(len(b.text) for b in group)
+
+
+def _common(places: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The elements that hold all places."""
+    low, high = min(places), max(places)
+    n = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    return low[:n]
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

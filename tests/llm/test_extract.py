@@ -24,6 +24,16 @@ def test_page_without_article():
     assert got[0] == "Head" and got[2] == "Short." and len(got) == 4
 
 
+LONG = "Some words, and more of them; as such. " * 9
+
+
+def test_threshold_decides_inside_an_article():
+    links = "".join(f"<li><a href={k}>Another story to read {k}</a></li>" for k in range(6))
+    page = f"<article><h1>T</h1><p>{LONG}</p><p>See <a href=/>this and that</a></p><p>{LONG}</p><ul><li><a href=/s>A source</a></li></ul><div><h3>More</h3><ul>{links}</ul></div><div><p>Short end.</p></div></article>"
+    long = LONG.strip()
+    assert extract.main_text(page).split("\n") == ["T", long, "See this and that", long, "A source", "Short end."]
+
+
 def test_wrappers_and_readers_comments():
     page = """<BODY CLASS="with-sidebar"><DIV class="wrap has-sidebar"><article class='post'><h2>T</h2><p>Text, as such.</p></article>
     <section id=comments><article class=comment><p>A reader says, at great length, that it is so.</p></article></section>
