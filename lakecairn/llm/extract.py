@@ -30,8 +30,8 @@ from lakecairn.llm import textkernel as K
 
 #: Tag names of the HTML standard by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math noembed noframes xmp object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp nobr blink center".split())
+RAW = frozenset("script style noscript template iframe textarea title svg noembed noframes object annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp nobr blink center math mi mn mo ms mrow mtext msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mspace mpadded mphantom menclose mmultiscripts mtable mtr mtd semantics".split())
 APART = frozenset("nav header footer aside form button select option menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
@@ -153,6 +153,13 @@ def blocks(page: str) -> list[Block]:
             if tag not in ("object",):
                 at = end.end() if end else n
             continue
+        if tag == "xmp":  # shown as it stands
+            end = re.compile(r"</xmp\s*>", re.I).search(page, at)
+            flush()
+            runs.append(html.escape(page[at : end.start() if end else n]))
+            flush()
+            at = end.end() if end else n
+            continue
         if tag in VOID:
             if tag == "br":
                 runs.append(" ")

@@ -34,6 +34,14 @@ def test_threshold_decides_inside_an_article():
     assert extract.main_text(page).split("\n") == ["T", long, "See this and that", long, "A source", "Short end."]
 
 
+def test_article_text_of_pages_without_article():
+    page = f"<body><ul><li><a href=/>Home of all things</a></ul><div><p>{LONG}</p><section><p>{LONG}{LONG}</p><p>{LONG}</p><p><a href=/>see there</a></p></section><h4>Sources</h4><ul><li><a href=/>A source</a></ul></div><div><ul><li><a href=/>next</a></ul></div></body>"
+    long = LONG.strip()
+    assert extract.main_text(page).split("\n") == [long, f"{long} {long}", long, "see there", "Sources", "A source"]
+    formula = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, then.</p><xmp>a <b> c</xmp></article>"
+    assert extract.main_text(formula) == "So x=1, then.\na <b> c"
+
+
 def test_wrappers_and_readers_comments():
     page = """<BODY CLASS="with-sidebar"><DIV class="wrap has-sidebar"><article class='post'><h2>T</h2><p>Text, as such.</p></article>
     <section id=comments><article class=comment><p>A reader says, at great length, that it is so.</p></article></section>
