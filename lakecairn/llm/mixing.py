@@ -12,6 +12,10 @@ these weights domains that are often confused do not slow the descent. Each roun
 pass that returns a few sums; a document's rate follows from its posteriors and the rounds'
 gradients, so nothing is kept but those.
 
+Where a document can stay once or go (``select``), rates are within 0 and 1 and the kept
+tokens' shares meet the targets: of all such rates those nearest to 1, found by Newton's
+method on the dual, one pass a round. How much stays follows from that.
+
 Defined cases: a null or empty text has no tokens and the bias alone gives its
 posteriors; without labelled rows or tokens every rate is 1; a domain that is not in the
 targets has target 0, one without tokens stays without; repeated rows get equal rates;
@@ -20,6 +24,7 @@ extra columns pass by.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -206,16 +211,93 @@ def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], toleranc
     return Fit(domains, targets, steps, expected, natural)
 
 
-def rates(soft: DataFrame, found: Fit) -> DataFrame:
+@dataclass
+class Selection:
+    domains: list[str]
+    shares: np.ndarray
+    price: np.ndarray  # of a domain's tokens beyond its share
+    expected: np.ndarray  # tokens by domain that stay
+    natural: np.ndarray  # tokens by domain before
+
+
+def _kept(p: np.ndarray, shares: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Rates from 0 to 1 at these prices."""
+    return np.clip(1 - (p - shares) @ price, 0.0, 1.0)
+
+
+#: Parts of a Newton step that are tried in one pass.
+TRIED = (1.0, 0.5, 0.25, 0.0625)
+
+
+def select(soft: DataFrame, domains: list[str], weights: dict[str, float], tolerance: float = 1e-4, rounds: int = 40) -> Selection:
+    """Rates within 0 and 1, nearest to 1, whose tokens are shared among domains as the weights are.
+
+    Where no selection meets them to the tolerance (of the kept tokens), all stay and a
+    warning says so.
+    """
+    width = len(domains)
+    asked = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
+    if not width or not asked.sum():
+        return Selection(domains, asked, np.zeros(width), np.zeros(width), np.zeros(width))
+    shares = asked / asked.sum()
+
+    def sums(prices: np.ndarray) -> np.ndarray:
+        """For each price: the dual's value, expected tokens by domain, second moments where the rate can move."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(prices), 1 + width + width * width))
+            for batch in batches:
+                if batch.num_rows:
+                    p, t = _matrix(batch.column("posteriors"), width), batch.column("tokens").to_numpy()
+                    q = p - shares
+                    for row, price in zip(total, prices):
+                        u, r = q @ price, _kept(p, shares, price)
+                        row[0] += t @ (0.5 * (r - 1) ** 2 + u * r)
+                        row[1 : 1 + width] += (r * t) @ p
+                        row[1 + width :] += ((q * (t * ((u >= 0) & (u <= 1)))[:, None]).T @ q).ravel()
+            yield pa.record_batch({"v": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+        per = soft.mapInArrow(K.tidy(run), "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        found = dict(per.collect())  # a few numbers a domain, or a pair of domains
+        return np.array([found.get(i, 0.0) for i in range(len(prices) * (1 + width + width * width))]).reshape(len(prices), -1)
+
+    price = np.zeros(width)
+    (now,) = sums(price[None])
+    natural, moments = now[1 : 1 + width], now[1 + width :].reshape(width, width)
+    if not natural.sum():
+        return Selection(domains, shares, price, natural, natural)
+    length = 1.0
+    for _ in range(rounds):
+        expected = now[1 : 1 + width]
+        miss = expected - shares * expected.sum()
+        if np.abs(miss).max() <= tolerance * expected.sum():
+            return Selection(domains, shares, price, expected, natural)
+        bend = now[1 + width :].reshape(width, width) + 1e-4 * moments + 1e-9 * np.trace(moments) * np.eye(width)
+        tried = price + length * np.array(TRIED)[:, None] * np.linalg.solve(bend, miss)
+        got = sums(tried)
+        best = int(got[:, 0].argmax())
+        if got[best, 0] > now[0]:
+            price, now, length = tried[best], got[best], min(1.0, 4 * length)
+        else:
+            length *= TRIED[-1] / 4
+    warnings.warn(f"no selection has the shares {dict(zip(domains, shares.tolist()))}: all documents stay, with {dict(zip(domains, (natural / natural.sum()).round(4).tolist()))}", stacklevel=2)
+    return Selection(domains, shares, np.zeros(width), natural, natural)
+
+
+def rates(soft: DataFrame, found: Fit | Selection) -> DataFrame:
     """soft with each document's fitted rate."""
-    width, steps = len(found.domains), found.steps
-    if not len(steps):
+    width = len(found.domains)
+    if isinstance(found, Selection):
+        of = lambda p: _kept(p, found.shares, found.price)
+    else:
+        of = lambda p: _rates(p, found.steps)
+    if not (found.price.any() if isinstance(found, Selection) else len(found.steps)):
         return soft.withColumn("rate", F.lit(1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                r = _rates(_matrix(batch.column("posteriors"), width), steps)
+                r = of(_matrix(batch.column("posteriors"), width))
                 yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "tokens", "posteriors")} | {"rate": pa.array(r)})
 
     return soft.mapInArrow(K.tidy(run), POSTERIORS + ", rate double")

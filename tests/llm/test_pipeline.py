@@ -7,6 +7,7 @@ import public_tokenizers
 import tokenizers
 
 import corpus_pipeline
+from lakecairn.llm import mixing
 from tests.conftest import SF
 from tests.llm.helpers import DOCS, odd_docs
 from tests.llm.test_jaccard import brute as near
@@ -54,3 +55,30 @@ def test_run_and_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
         assert docs.filter("doc_id in (1, 2, 3, 9)").count() == 0
+
+
+def test_mixing_meets_the_weights_by_selection(spark):
+    big = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    known = mixing.label_domains(spark.read.parquet(f"{big}/labels.parquet"))
+    soft = mixing.posteriors(docs, model := mixing.train(docs, known)).cache()
+    goal = np.array([mixing.WEIGHTS[d] for d in model.domains])
+
+    def off(ids, rate):
+        """How far each domain's tokens are from its share of the kept ones, in deviations of the draw."""
+        rows = [(r.tokens, np.array(r.posteriors), r.doc_id) for r in soft.collect()]
+        miss = sum(t * (p - goal) for t, p, i in rows if i in ids)
+        return miss / np.sqrt(sum((t * (p - goal)) ** 2 * rate[i] * (1 - rate[i]) for t, p, i in rows))
+
+    kept = {r.doc_id for r in corpus_pipeline.mixing_to_weights(spark, docs, big).collect()}
+    chosen = mixing.select(soft, model.domains, mixing.WEIGHTS)
+    rate = {r.doc_id: r.rate for r in mixing.rates(soft, chosen).collect()}
+    assert np.abs(off(kept, rate)).max() < 4 and 500 < len(kept) < 1000
+    assert np.abs(chosen.expected / chosen.expected.sum() - goal).max() < 1e-3
+    # One that must grow from a few hundredths to a quarter, which no rate above 1 may bring about.
+    weights = dict(zip(model.domains, [0.25] * 4))
+    found = mixing.select(soft, model.domains, weights)
+    rated = {r.doc_id: r for r in mixing.rates(soft, found).collect()}
+    assert all(0 <= r.rate <= 1 for r in rated.values())
+    total = sum(r.rate * r.tokens * np.array(r.posteriors) for r in rated.values())
+    assert np.allclose(total, found.expected) and np.allclose(total / total.sum(), 0.25, atol=1e-3)
