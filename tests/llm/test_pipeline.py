@@ -82,3 +82,14 @@ def test_mixing_meets_the_weights_by_selection(spark):
     assert all(0 <= r.rate <= 1 for r in rated.values())
     total = sum(r.rate * r.tokens * np.array(r.posteriors) for r in rated.values())
     assert np.allclose(total, found.expected) and np.allclose(total / total.sum(), 0.25, atol=1e-3)
+
+
+def test_language_stage_decides_by_row_and_by_codewords(spark):
+    big = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    clean = docs.filter("text rlike '\\\\p{L}'")
+    letters = np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), 300)
+    first = clean.first()
+    more = [(-1, "asdf jkl; qwer uiop zxcv " * 20, None, "s", 0), (-2, "".join(letters), None, "s", 0), (first.doc_id, None, None, "s", 0)]
+    out = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), big).collect()
+    assert sorted(out) == sorted(clean.collect())
