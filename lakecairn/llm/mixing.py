@@ -173,7 +173,7 @@ class Fit:
 
 
 def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], tolerance: float = 1e-4, rounds: int = 60) -> Fit:
-    """Projected gradient descent until every domain is within tolerance (of all tokens) of its target."""
+    """Projected gradient descent until every domain is within tolerance (of all tokens) of its target; warns where none is reached."""
     width = len(domains)
 
     def sums(steps: np.ndarray, squares: bool) -> np.ndarray:
@@ -208,6 +208,8 @@ def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], toleranc
             break
         steps = np.concatenate([steps, (w @ miss / total)[None]])
         expected = sums(steps, False)
+    if np.abs(expected - targets).max() > tolerance * total:
+        warnings.warn(f"targets not met after {rounds} rounds: shares {dict(zip(domains, (expected / total).round(4).tolist()))} of all tokens, asked {dict(zip(domains, (targets / total).tolist()))}", stacklevel=2)
     return Fit(domains, targets, steps, expected, natural)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lakecairn.llm import mixing, registry
@@ -60,3 +61,9 @@ def test_copies_have_the_rate_as_mean(spark):
     assert abs(rows.agg(F.avg("n")).first()[0] - 1.3) < 0.02
     out = registry.op8_mixing(spark, SF)
     assert out.count() == 200 and out.filter("rate < 0 or copies < floor(rate) or copies > rate + 1").count() == 0
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    soft = spark.createDataFrame([(1, 10, [0.6, 0.4]), (2, 30, [0.5, 0.5])], mixing.POSTERIORS)
+    with pytest.warns(UserWarning, match="targets not met"):
+        mixing.fit(soft, ["a", "b"], {"a": 1.0}, rounds=5)
