@@ -41,7 +41,7 @@ from lakecairn.llm.graph import checkpointed
 SAMPLE = 8000
 #: Value of a word that a text has; drawn rows that must have a feature for it to count.
 PRESENCE, LEAST_ROWS = 0.5, 4
-#: Domains at most: posteriors and sums are vectors of this length.
+#: Domains at most (more are an error): posteriors and sums are vectors of this length.
 MAX_DOMAINS = 1000
 
 
@@ -77,7 +77,9 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, epochs: in
     """Learn from about ``sample`` rows of ``labelled`` (doc_id, domain), drawn evenly by domain by a hash of the id."""
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).filter("doc_id is not null and domain is not null")
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).filter("domain = other").drop("other")
-    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS).collect()}
+    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS + 1).collect()}
+    if len(counts) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
     domains = sorted(counts)
     empty = Classifier(domains, np.zeros((quality.BUCKETS, len(domains)), np.float32), np.zeros(len(domains)))
     if not domains:

@@ -67,3 +67,10 @@ def test_targets_out_of_reach_are_reported(spark):
     soft = spark.createDataFrame([(1, 10, [0.6, 0.4]), (2, 30, [0.5, 0.5])], mixing.POSTERIORS)
     with pytest.warns(UserWarning, match="targets not met"):
         mixing.fit(soft, ["a", "b"], {"a": 1.0}, rounds=5)
+
+
+def test_too_many_domains_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
+    labelled = spark.createDataFrame([(6, "a"), (8, "b"), (9, "c")], "doc_id long, domain string")
+    with pytest.raises(ValueError, match="more than 2 domains"):
+        mixing.train(odd_docs(spark), labelled)
