@@ -55,7 +55,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.build(spark.read.parquet(f"{sf_dir}/pages.parquet"), records=False)
+    return warc.build(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 
 from lakecairn.llm import registry, warc
@@ -48,3 +49,10 @@ def test_odd_pages(spark):
         assert dict(headers)["WARC-Record-ID"] == r.record_id and len(block) == r.n_bytes
     assert len({r.record_id for r in out}) == 8
     assert warc.build(df.limit(0)).count() == 0
+
+
+def test_query_returns_the_records(spark):
+    for r in registry.op9_warc(spark, SF).collect():
+        ((headers, block),) = warc.read_records(bytes(r.record))
+        assert dict(headers)["WARC-Record-ID"] == r.record_id and len(block) == r.n_bytes
+        assert hashlib.sha256(bytes(r.record)).hexdigest() == r.record_sha256
