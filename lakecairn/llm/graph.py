@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids that may be broadcast, after counting them; more are joined by shuffle.
+from lakecairn.operators.ranges import numbered
+
+#: Rows of a few numbers that may be broadcast, after counting them; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Edges that one task may take together, after counting them; more go through rounds of joins.
 ONE_TASK_EDGES = 500_000
@@ -24,9 +27,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver find what nothing refers to any more, so that shuffles and broadcasts of steps that are over leave the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def observed(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """checkpointed(df), and aggregates of its rows, taken as they are written."""
+    seen = Observation()
+    kept = checkpointed(df.observe(seen, *[c.alias(name) for name, c in sums.items()]))
+    return kept, seen.get
+
+
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """checkpointed(df), and how many of its rows are so (or all)."""
+    kept, seen = observed(df, n=F.count(F.lit(1) if what is None else F.when(what, 1)))
+    return kept, seen["n"]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lakecairn')}"
+    """The folder that all executors share; one of our own only where none is set and all runs on one machine, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lakecairn')}"
+    return folder
+
+
+def unique_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with ``row``, unique where doc_id is given and in its order, and whether an id repeats.
+
+    Only then rows are numbered: rows of one id by their text's hash.
+    """
+    named = docs.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn("row", F.col("doc_id")), False
+    keyed = numbered(named.withColumn("_key", F.struct("doc_id", F.xxhash64("text"))), "_key", "row").drop("_key")
+    rest = docs.filter("doc_id is null").withColumn("row", F.lit(None).cast("long"))
+    return checkpointed(keyed.unionByName(rest)), True
 
 
 def small(df: DataFrame, n_rows: int) -> DataFrame:
@@ -61,8 +101,9 @@ def components(edges: DataFrame) -> DataFrame:
     every node at its smallest neighbour (or itself), follows the pointer once more, and contracts the
     edges; a round at least halves the nodes that still have edges.
     """
-    left = checkpointed(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if left.count() <= ONE_TASK_EDGES:
+    left, n = counted(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    forget(edges.sparkSession)
+    if n <= ONE_TASK_EDGES:
         return left.coalesce(1).mapInArrow(_union, "node long, component long")
     found = None
     while not left.isEmpty():

@@ -10,17 +10,23 @@ Documents with equal sets form a class, its smallest doc_id stands for it. Then
 
 so that two sets which link meet under some key. Keys give chains of sets whose sizes
 allow a link, chains give clusters, and within a cluster the inverted lists are scanned:
-every set's overlap with every other is counted exactly. Clusters over a bound are cut
-into blocks and compared block by block. The boundary is the one of least cost, from the
-numbers of sets by size.
+every set's overlap with every other is counted exactly. The boundary is the one of least
+cost, from the numbers of sets by size.
+
+Sets of a large cluster are mostly alike, so their lists would be scanned for what all have.
+They are compared by what they differ in from a consensus, the shingles that most of some
+of its sets have: the difference of two sets follows from the differences of each and what
+these share, whatever the consensus is. Clusters of more than a few blocks of sets are dealt
+out as pairs of blocks, as differences only.
 
 How often each shingle occurs is counted over all sets, in sorted runs dealt out by
 shingle; the most frequent ones are known to every task beforehand and skip that shuffle.
 
 Defined cases: null text, or one without words, has an empty set, links with nothing and
 is its own component; fewer than five words make one shingle; a null doc_id is never a
-partner's component but takes part in its class; rows with one id count as one document;
-extra columns pass by; an empty table gives an empty result.
+partner's component but takes part in its class; rows with one id are one document, linked
+with whatever one of them is linked with; extra columns pass by; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import textkernel as K
-from lakecairn.llm.graph import checkpointed, components, small
+from lakecairn.llm.graph import checkpointed, components, counted, forget, observed, small, unique_rows
 
 #: Percent of the union that two sets must share.
 PERCENT = 80
@@ -44,11 +50,14 @@ PERCENT = 80
 COUNTED, FREQUENT = 1 << 19, 4
 #: Most frequent shingles that are known to every task (a bound: it orders shingles, and drops none).
 KNOWN = 100_000
-#: Shingles compared at once, and shingles times sets, which is what scanning their lists may cost; a cluster over
-#: either is cut into blocks.
-VOLUME, WORK = 1 << 20, 1 << 28
-#: Shingles counted at once, about, and ranges of them at most.
-PART, MAX_PARTS = 1 << 19, 1 << 16
+#: Shingles, or differences, that are compared at once, about.
+VOLUME = 1 << 20
+#: Sets of a block, and blocks of a cluster, unless blocks were over MOST_SETS sets or half a VOLUME then.
+BLOCK_SETS, BLOCKS, MOST_SETS = 64, 32, 8192
+#: Sets of a cluster from which a consensus is worth its while, and sets it is taken from, about.
+ALIKE, ASKED = 16, 64
+#: Shingles counted at once, about, and ranges of them at most: at 100 TB a range has 16 million.
+PART, MAX_PARTS = 1 << 19, 1 << 20
 #: Largest size that may be a small set.
 LARGEST_SMALL = 20
 
@@ -336,8 +345,15 @@ def _postings(token, low, high, doc, other) -> pa.RecordBatch:
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of the chains of every token of a partition."""
+    """Edges (a, b) of the chains of every token; rows come in order of token and size, and the last chain goes on in the next rows."""
     held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def meet(last: bool) -> pa.RecordBatch:
+        chains, a, b = _meet(*(np.concatenate(x) for x in zip(*held)))
+        held[:] = [] if last else [[chains[c][-1:] for c in ("token", "low", "high", "doc_id")]]
+        return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
     for batch in batches:
         edge = batch.column("other").is_valid().to_numpy(zero_copy_only=False)
         if edge.any():
@@ -346,14 +362,31 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not edge.all():
             rest = batch.filter(pa.array(~edge))
             held.append([rest.column(c).to_numpy() for c in ("token", "low", "high", "doc_id")])
+            rows += rest.num_rows
+            if rows > VOLUME:
+                yield meet(False)
+                rows = 0
     if held:
-        _, a, b = _meet(*(np.concatenate(x) for x in zip(*held)))
-        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+        yield meet(True)
+
+
+def consensus(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles, sorted, that more than half of the sets have."""
+    if not sets:
+        return np.zeros(0, np.int64)
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    return token[2 * count > len(sets)]
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What is in one of two sorted sets and not in the other."""
+    return np.setxor1d(a, b, assume_unique=True)
 
 
-def _compare(doc: np.ndarray, block: np.ndarray, across: bool, copies: np.ndarray, tokens: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compare(doc: np.ndarray, block: np.ndarray, across: bool, copies: np.ndarray, n: np.ndarray, tokens: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The component (smallest doc_id) and the number of linked documents of each set, by scanning inverted lists.
 
+    tokens: the sets themselves, of n shingles each, or their differences from some set that is the same for all.
     across: only links between different blocks are counted.
     """
     n_docs, size = len(doc), np.diff(bound)
@@ -365,20 +398,26 @@ def _compare(doc: np.ndarray, block: np.ndarray, across: bool, copies: np.ndarra
     owner = np.repeat(np.arange(n_docs), size)
     lists = owner[np.argsort(ident, kind="stable")]
     start = np.concatenate([[0], np.cumsum(count)])
-    for d in range(n_docs):
+    plain = (size == n).all()
+    second = block != block.min() if n_docs else block  # of two blocks, one's sets are held against the other's
+    for d in np.flatnonzero(~second) if across else range(n_docs):
         t = ident[bound[d] : bound[d + 1]]
         t = t[count[t] > 1]
-        if not len(t):
+        if plain and not len(t):
             continue
         width = count[t]
         total = int(width.sum())
         pick = np.arange(total) + np.repeat(start[t] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
         shared = np.bincount(lists[pick], minlength=n_docs)
-        near = np.flatnonzero(100 * shared >= PERCENT * (size + size[d] - shared))
-        near = near[near != d]
+        both = n + n[d]
+        twice = both - size - size[d] + 2 * shared  # two times what the sets share
+        near = (100 + PERCENT) * twice >= 2 * PERCENT * both
+        near[d] = False
+        near = np.flatnonzero(near & second if across else near)
         if len(near):
-            told = near[block[near] != block[d]] if across else near
-            links[d] = copies[told].sum()
+            links[d] += copies[near].sum()
+            if across:
+                links[near] += copies[d]
             old = np.unique(label[np.append(near, d)])
             if len(old) > 1:
                 label[np.isin(label, old)] = old[0]
@@ -388,17 +427,26 @@ def _compare(doc: np.ndarray, block: np.ndarray, across: bool, copies: np.ndarra
 LINK = "doc_id long, component long, links long"
 
 
+PAIR = "part long, across boolean, doc_id long, block int, n long, copies long, tokens array<long>"
+
+
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the sets of each part; parts come one after the other and small ones are taken together."""
     held: list[pa.RecordBatch] = []
     volume = 0
 
-    def done(rows: pa.Table) -> pa.RecordBatch:
+    def done(rows: pa.Table, alone: bool) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         lists = pa.concat_arrays(rows["tokens"].chunks)
         bound = lists.offsets.to_numpy().astype(np.int64)
-        doc = rows["doc_id"].to_numpy()
-        component, links = _compare(doc, rows["block"].to_numpy(), rows["across"][0].as_py(), rows["copies"].to_numpy(), lists.values.to_numpy()[bound[0] : bound[-1]], bound - bound[0])
+        doc, n = rows["doc_id"].to_numpy(), rows["n"].to_numpy()
+        tokens, bound = lists.values.to_numpy()[bound[0] : bound[-1]], bound - bound[0]
+        if alone and len(doc) >= ALIKE and (np.diff(bound) == n).all():
+            sets = np.split(tokens, bound[1:-1])
+            most = consensus(sets)
+            sets = [difference(s, most) for s in sets]
+            tokens, bound = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        component, links = _compare(doc, rows["block"].to_numpy(), rows["across"][0].as_py(), rows["copies"].to_numpy(), n, tokens, bound)
         return pa.record_batch({"doc_id": pa.array(doc), "component": pa.array(component), "links": pa.array(links)})
 
     for batch in batches:
@@ -409,35 +457,132 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edges[:-1], edges[1:]):
             piece = batch.slice(a, b - a)
             same = held and held[-1].column("part")[0].as_py() == piece.column("part")[0].as_py()
-            cut = piece.column("block")[0].as_py() >= 0
-            if held and not same and (volume > VOLUME // 2 or cut or held[-1].column("block")[0].as_py() >= 0):
-                yield done(pa.Table.from_batches(held))
-                held, volume = [], 0
+            if held and not same:
+                # The last part so far may be one that must stand alone: of blocks, or with a consensus.
+                first = next(i for i, x in enumerate(held) if x.column("part")[0].as_py() == held[-1].column("part")[0].as_py())
+                last = held[first:]
+                if last[0].column("block")[0].as_py() >= 0 or sum(x.num_rows for x in last) >= ALIKE:
+                    if first:
+                        yield done(pa.Table.from_batches(held[:first]), False)
+                    yield done(pa.Table.from_batches(last), True)
+                    held, volume = [], 0
+                elif volume > VOLUME // 2:
+                    yield done(pa.Table.from_batches(held), False)
+                    held, volume = [], 0
             held.append(piece)
             volume += len(piece.column("tokens").flatten())
     if held:
-        yield done(pa.Table.from_batches(held))
+        first = next(i for i, x in enumerate(held) if x.column("part")[0].as_py() == held[-1].column("part")[0].as_py())
+        if first:
+            yield done(pa.Table.from_batches(held[:first]), False)
+        yield done(pa.Table.from_batches(held[first:]), True)
+
+
+REFERENCE = "component long, most array<long>, share double"
+
+
+def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The consensus of some sets of each cluster, and the share of shingles in which they differ from it; clusters come one by one."""
+    held: list[np.ndarray] = []
+    at = None
+
+    def done() -> pa.RecordBatch:
+        most = consensus(held)
+        share = sum(len(difference(s, most)) for s in held) / sum(len(s) for s in held)
+        return pa.record_batch({"component": pa.array([at], pa.int64()), "most": pa.array([most], pa.list_(pa.int64())), "share": pa.array([share])})
+
+    for batch in batches:
+        for k, s in zip(batch.column("component").to_pylist(), batch.column("tokens")):
+            if k != at and held:
+                yield done()
+                held.clear()
+            at = k
+            held.append(s.values.to_numpy())
+    if held:
+        yield done()
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as differences from their cluster's consensus; where none was taken, that is empty."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = []
+        for s, m in zip(batch.column("tokens"), batch.column("most")):
+            s = s.values.to_numpy()
+            out.append(difference(s, m.values.to_numpy()) if m.is_valid else s)
+        yield pa.record_batch({c: batch.column(c) for c in ("component", "blocks", "doc_id", "n", "copies")} | {"tokens": pa.array(out, pa.list_(pa.int64()))})
+
+
+def _pairs(sets: DataFrame) -> DataFrame:
+    """Rows of blocks of large clusters (component, m, v: its sets and shingles, doc_id, n, copies, tokens), once a pair of blocks."""
+    some = sets.filter(F.pmod(F.xxhash64(F.lit("asked"), "doc_id"), F.ceil(F.col("m") / ASKED)) == 0)
+    refs = some.select("component", "tokens").repartition("component").sortWithinPartitions("component").mapInArrow(K.tidy(_references), REFERENCE)
+    refs, size = observed(refs, longs=F.sum(F.size("most") + 16))
+    refs = F.broadcast(refs) if (size["longs"] or 0) <= VOLUME else refs
+    volume = F.col("v") * F.coalesce("share", F.lit(1.0))
+    few = F.least(F.lit(BLOCKS), F.ceil(F.col("m") / BLOCK_SETS))
+    blocks = F.greatest(few, F.ceil(F.col("m") / MOST_SETS), F.ceil(2 * volume / VOLUME)).cast("int")
+    cut = sets.join(refs, "component", "left").select("component", blocks.alias("blocks"), "doc_id", "n", "copies", "tokens", "most")
+    cut = cut.mapInArrow(K.tidy(_differences), "component long, blocks int, doc_id long, n long, copies long, tokens array<long>")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    cut = cut.withColumn("block", own)
+    part = lambda j: F.struct(F.xxhash64("component", F.least("block", j), F.greatest("block", j)).alias("part"), (j != F.col("block")).alias("across"))
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), part)
+    return cut.select(F.explode(parts).alias("p"), "doc_id", "block", "n", "copies", "tokens").select("p.part", "p.across", "doc_id", "block", "n", "copies", "tokens")
+
+
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sets of rows (doc_id, component, m, v, n, copies, text)."""
+    for batch in batches:
+        sets = [s.view(np.int64) for _, s in _sets(batch)]
+        if sets:
+            cols = {c: batch.column(c) for c in ("component", "m", "v", "doc_id", "n", "copies")}
+            yield pa.record_batch(cols | {"tokens": pa.array(sets, pa.list_(pa.int64()))})
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (documents linked with it) of every row."""
+    return join_rows(docs)[0]
+
+
+def join_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """join(docs), and whether an id repeats."""
+    keyed, repeated = unique_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    if not repeated:
+        return _join(keyed.select("doc_id", "text")), False
+    ids = keyed.select("row", F.col("doc_id").alias("id"))
+    found = _join(keyed.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    found = checkpointed(found.join(ids.filter("row is not null"), "row", "left"))
+    # Rows of one id lie in one component; rows are numbered in the order of ids, so the smallest row has the smallest id.
+    least = found.filter("id is not null").groupBy("id").agg(F.min("component_id").alias("b"))
+    joined = components(found.join(least, "id").select(F.col("component_id").alias("a"), "b"))
+    found = found.join(joined, found["component_id"] == joined["node"], "left").withColumn("component_id", F.coalesce("component", "component_id"))
+    to = ids.select(F.col("row").alias("component_id"), F.col("id").alias("smallest"))
+    return found.join(to, "component_id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.col("smallest").alias("component_id"), "n_links"), True
+
+
+def _join(docs: DataFrame) -> DataFrame:
+    """join() of documents whose ids are unique, or null."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = checkpointed(docs.mapInArrow(K.tidy(_scan), SCAN))
     rows = scan.filter("kind = 0").select("doc_id", "n", "k1", "k2")
-    sizes = rows.groupBy(F.least("n", F.lit(2 * LARGEST_SMALL + 1)).alias("n")).agg(F.count("*").alias("count"), F.sum("n").alias("total")).collect()
-    limit = boundary({r["n"]: r["count"] for r in sizes if 1 <= r["n"] <= 2 * LARGEST_SMALL})
-    total = sum(r["total"] for r in sizes)
+    few_sizes = range(1, 2 * LARGEST_SMALL + 1)
+    by_size = [F.count_if((F.col("kind") == 0) & (F.col("n") == i)).alias(f"n{i}") for i in few_sizes]
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in (0, 1)]
+    sizes = scan.agg(sums[0].alias("total"), sums[1].alias("often"), *by_size).first()
+    limit = boundary({i: sizes[f"n{i}"] for i in few_sizes})
     least = -(-PERCENT * (limit + 1) // 100)  # smaller sets meet all their partners by subsets
-    often = scan.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "k1").limit(KNOWN).toArrow()
+    # At most KNOWN shingles can have that share of all that are counted here.
+    often = scan.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("df")).filter(F.col("df") * KNOWN >= sizes["often"]).toArrow()
     known, df = often["k1"].to_numpy().view(np.uint64), often["df"].to_numpy()
     order = np.argsort(known)
-    layout = spark.sparkContext.broadcast(Layout.of(total, known[order], df[order]))
+    layout = spark.sparkContext.broadcast(Layout.of(sizes["total"], known[order], df[order]))
 
     classes = checkpointed(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    copies = rows.filter("n > 0 and doc_id is not null").join(classes, ["k1", "k2", "n"]).filter("doc_id <> first").select("doc_id")
-    copies = checkpointed(copies.distinct())
-    copies = small(copies, copies.count())
+    named, n_copies = counted(rows.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", "first", "copies"), F.col("doc_id") != F.col("first"))
+    copies = small(named.filter("doc_id <> first").select("doc_id"), n_copies)
+    forget(spark)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs of the shingles of some documents, one a range; entries of known shingles."""
@@ -472,7 +617,7 @@ def join(docs: DataFrame) -> DataFrame:
                 if len(s) >= least and ids[i] is not None:
                     held.append((ids[i], s))
                     volume += len(s)
-                    if volume > COUNTED:
+                    if volume > max(COUNTED, 4 * lay.parts):
                         yield from flush()
                         volume = 0
         if held:
@@ -495,46 +640,35 @@ def join(docs: DataFrame) -> DataFrame:
             yield _rows(SIGNED, batch.column("doc_id"), batch.column("n"), pa.array(keys, pa.list_(pa.int64())))
 
     mine = docs.filter("doc_id is not null").join(copies, "doc_id", "left_anti").select("doc_id", "text")
-    counted = mine.mapInArrow(K.tidy(runs), RUNS).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(_count(layout)), RUNS)
+    shared = mine.mapInArrow(K.tidy(runs), RUNS).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(_count(layout)), RUNS)
     measured = rows.filter(f"n >= {max(1, least)} and doc_id is not null").select("doc_id", "n").mapInArrow(K.tidy(packed_sizes), RUNS)
-    large = counted.unionByName(measured).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(lambda b: _combine(_prefixes(b))), POSTING)
+    large = shared.unionByName(measured).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(lambda b: _combine(_prefixes(b))), POSTING)
     few = scan.filter(f"kind = 0 and n between 1 and {limit} and doc_id is not null").join(copies, "doc_id", "left_anti")
     posted = large.unionByName(few.select("doc_id", "n", "tokens").mapInArrow(K.tidy(lambda b: _combine(subsets(b))), POSTING))
-    edges = posted.repartition("key").mapInArrow(K.tidy(_reduce), "a long, b long")
+    edges = posted.repartition("key").sortWithinPartitions("token", "low").mapInArrow(K.tidy(_reduce), "a long, b long")
     clusters = components(edges)
 
-    member = clusters.join(classes.select(F.col("first").alias("node"), "n", "copies"), "node")
-    member = checkpointed(member.groupBy("node", "component").agg(F.max("n").alias("n"), F.max("copies").alias("copies")))
-    # A part holds two blocks, so its work is that of the cluster divided by the square of half their number.
-    blocks = F.ceil(F.greatest(F.sum("n") / VOLUME, 2 * F.sqrt(F.count("*").cast("double") * F.sum("n") / WORK)))
-    over = (F.sum("n") > VOLUME) | (F.count("*").cast("double") * F.sum("n") > WORK)
-    volume = member.groupBy("component").agg(F.when(over, blocks).otherwise(F.lit(1)).alias("blocks")).filter("blocks > 1")
-    n_cut = volume.count()
-    member = member.join(small(volume, n_cut), "component", "left")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    part = lambda j: F.struct(F.xxhash64("component", F.least("own", j), F.greatest("own", j)).alias("part"), (j != F.col("own")).alias("across"))
-    whole = F.array(F.struct(F.xxhash64("component").alias("part"), F.lit(False).alias("across")))
-    member = member.withColumn("own", F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(own))
-    parts = F.transform(F.sequence(F.lit(0), (F.coalesce("blocks", F.lit(1)) - 1).cast("int")), part)
-    member = member.select(F.col("node").alias("doc_id"), "own", "copies", F.when(F.col("blocks").isNull(), whole).otherwise(parts).alias("parts"))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for _, s in _sets(batch)]
-            if sets:
-                cols = {c: batch.column(c) for c in ("parts", "doc_id", "own", "copies")}
-                yield pa.record_batch(cols | {"tokens": pa.array(sets, pa.list_(pa.int64()))})
-
-    sets = docs.join(small(member, member.count()), "doc_id").select("parts", "doc_id", "own", "copies", "text")
-    sets = sets.mapInArrow(K.tidy(full), "parts array<struct<part: long, across: boolean>>, doc_id long, own int, copies long, tokens array<long>")
-    sets = sets.select(F.explode("parts").alias("p"), "doc_id", F.col("own").alias("block"), "copies", "tokens").select("p.part", "p.across", "doc_id", "block", "copies", "tokens")
-    links = checkpointed(sets.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(K.tidy(_scan_lists), LINK))
-    n_links = links.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
+    reps = named.filter("doc_id = first").select(F.col("first").alias("node"), "n", "copies")
+    member, n_member = counted(clusters.join(reps, "node").select(F.col("node").alias("doc_id"), "component", "n", "copies"))
+    volume, n_cut = counted(member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("v")).filter((F.col("m") > 2 * BLOCK_SETS) | (F.col("v") > VOLUME)))
+    volume = small(volume, n_cut)
+    forget(spark)
+
+    def sets(of: DataFrame, n_rows: int) -> DataFrame:
+        return docs.join(small(of, n_rows), "doc_id").select("component", "m", "v", "doc_id", "n", "copies", "text").mapInArrow(K.tidy(_full), "component long, m long, v long, doc_id long, n long, copies long, tokens array<long>")
+
+    none = F.lit(0).cast("long")
+    whole = member.join(volume, "component", "left_anti") if n_cut else member
+    whole = sets(whole.select("*", none.alias("m"), none.alias("v")), n_member)
+    parts = whole.select(F.xxhash64("component").alias("part"), F.lit(False).alias("across"), "doc_id", F.lit(-1).alias("block"), "n", "copies", "tokens")
+    if n_cut:
+        parts = parts.unionByName(_pairs(checkpointed(sets(member.join(volume, "component"), n_member))))
+    links = checkpointed(parts.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(K.tidy(_scan_lists), LINK))
     if n_cut:  # blocks of one cluster know only their own links
-        whole = components(links.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))).select(F.col("node").alias("doc_id"), "component")
-        n_links = n_links.drop("component").join(whole, "doc_id", "left").select("doc_id", "links", F.coalesce("component", "doc_id").alias("component"))
-    first = classes.join(n_links.withColumnRenamed("doc_id", "first"), "first", "left").select("k1", "k2", "n", "first", "copies", "links", "component")
-    out = rows.join(first, ["k1", "k2", "n"], "left")
+        joined = components(links.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))).select(F.col("node").alias("doc_id"), "component")
+        links = checkpointed(links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(joined, "doc_id", "left").select("doc_id", "links", F.coalesce("component", "doc_id").alias("component")))
+    links = links.select(F.col("doc_id").alias("first"), "component", "links")
+    out = named.join(small(links, n_member), "first", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +79,12 @@ def test_equals_brute_force(spark, seed):
 
 def test_blocks_boundaries_and_frequent_shingles(spark, monkeypatch):
     rows = near_copies(3, 250)
-    monkeypatch.setattr(jaccard, "WORK", 2000)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
     compare(spark, rows)
+    monkeypatch.setattr(jaccard, "ASKED", 10**9)  # no consensus: whole sets are compared
+    monkeypatch.setattr(jaccard, "MOST_SETS", 2)
+    compare(spark, rows)
+    monkeypatch.setattr(jaccard, "ASKED", 4)
     monkeypatch.setattr(jaccard, "VOLUME", 100)
     compare(spark, rows)
     monkeypatch.setattr(jaccard, "boundary", lambda counts: 0)
@@ -90,6 +95,66 @@ def test_blocks_boundaries_and_frequent_shingles(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_repeated_ids(spark):
+    """Rows of one id are one document: 9 reaches 5 through the two rows of 7."""
+    a, c = "a b c d e f g h i j k l m n o p", " ".join(f"c{i}" for i in range(40))
+    rows = [(5, a), (7, a), (7, c), (9, c + " more"), (11, "on its own here"), (None, a), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard.join(df).collect())
+    assert got == [(-1, 12, 5), (5, 12, 5), (7, 12, 5), (7, 12, 5), (7, 36, 5), (9, 37, 5), (11, 1, 11)]
+    far = [(-(2**63), c), (2**63 - 1, c + " more"), (0, a)]
+    assert {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(far, "doc_id long, text string")).collect()} == {-(2**63): -(2**63), 2**63 - 1: -(2**63), 0: 0}
+
+
+def test_clashing_columns(spark):
+    names = ["n", "k1", "k2", "first", "copies", "component", "part", "row", "kind", "tokens", "block", "node"]
+    df = spark.createDataFrame(near_copies(6, 80), "doc_id long, text string")
+    wide = df.select("*", *[F.lit("x").alias(c) for c in names])
+    rows = lambda d: sorted(map(tuple, jaccard.join(d).collect()))
+    assert rows(wide) == rows(df)
+
+
+def test_chains_go_on_over_chunks(monkeypatch):
+    """Chains met piece by piece join up the same documents as all at once."""
+    rng = np.random.default_rng(5)
+    token, n, doc = rng.integers(0, 6, 300), rng.integers(1, 60, 300), rng.permutation(300)
+    order = np.lexsort((n, token))
+    token, n, doc = token[order], n[order], doc[order]
+
+    def joined(bound):
+        monkeypatch.setattr(jaccard, "VOLUME", bound)
+        rows = [jaccard._postings(token[i : i + 7], n[i : i + 7], n[i : i + 7], doc[i : i + 7], None) for i in range(0, 300, 7)]
+        up = list(range(300))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for out in jaccard._reduce(iter(rows)):
+            for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist()):
+                a, b = sorted((root(a), root(b)))
+                up[b] = a
+        return [root(x) for x in range(300)]
+
+    assert joined(20) == joined(10**6) and len(set(joined(20))) > 3
+
+
+def test_differences_count_like_whole_sets():
+    """Overlaps from differences to any set are those of the sets themselves."""
+    rng = np.random.default_rng(9)
+    base = rng.choice(1000, 60, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base, 54, replace=False), rng.choice(1000, rng.integers(0, 6))])) for _ in range(40)]
+    n = np.array([len(s) for s in sets])
+    doc, block, copies = rng.permutation(40), np.arange(40) % 2, rng.integers(1, 4, 40)
+    for across in (False, True):
+        found = []
+        for most in (np.zeros(0, np.int64), jaccard.consensus(sets), sets[3]):
+            held = [jaccard.difference(s, most) for s in sets]
+            found.append([x.tolist() for x in jaccard._compare(doc, block, across, copies, n, np.concatenate(held), np.concatenate([[0], np.cumsum([len(s) for s in held])]))])
+        assert found[0] == found[1] == found[2] and sum(found[0][1]) > 0
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in registry.op3_ngram_jaccard_join(spark, SF).collect()}
