@@ -17,7 +17,12 @@ equals. Equal windows have equal anchors at equal places, so
 3. of each bucket that is left, all windows but the earliest mark their bytes.
 
 Anchors, and equal stretches around one anchor, are met within each batch first, so a
-frequent passage leaves a task as one row and not as one row a document.
+frequent passage leaves a task as one row and not as one row a document. Most of what goes
+is settled there (nine tenths of the bytes on the test tables), refinement does the rest.
+
+Buckets come one after the other, so a task holds a bounded number of them. A bucket beyond
+that is refined piece by piece; the windows that are first in their piece are then dealt out
+once more, by all of their bytes, and of equal ones the earliest stays.
 
 Defined cases: null counts as empty text; a text shorter than LENGTH loses nothing; rows
 without doc_id lose nothing and remove nothing; rows that share a doc_id are ordered by
@@ -31,18 +36,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import textkernel as K
+from lakecairn.llm.graph import counted, forget, observed, unique_rows
 
 LENGTH, Q = 100, 32
 #: Window starts whose anchors are found at once; bytes of context refined at once.
 SEGMENT, REFINED = 1 << 19, 1 << 19
+#: Anchors, and bytes of stretches, that a task holds at once; a larger bucket goes piece by piece.
+ANCHORS_HELD, BYTES_HELD = 1 << 20, 1 << 21
 #: Bytes beside a frequent anchor that tell its windows apart: half of what a window has around it.
 NEAR = (LENGTH - Q) // 2
-#: Occurrences in a batch that may make an anchor frequent, and the most frequent ones known to every task (a bound:
-#: it says how buckets are dealt out, and drops none).
+#: Occurrences in a batch that may make an anchor frequent, and frequent ones that are known to every task at most: those
+#: with at least 1 / KNOWN of all such occurrences. It says how buckets are dealt out, and drops none.
 FREQUENT, KNOWN = 32, 100_000
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -152,28 +160,47 @@ def _record(schema: str, *cols) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, gram) of the anchors of a partition that occur twice or more."""
-    gram, doc, state = [], [], []
-    for batch in batches:
-        s = batch.column("state").to_numpy()
-        known = s == REPEATED
-        if known.any():
-            rows = batch.filter(pa.array(known))
-            yield pa.record_batch({"doc_id": rows.column("doc_id"), "gram": rows.column("gram")})
-        gram.append(batch.column("gram").to_numpy()[~known])
-        doc.append(batch.column("doc_id").to_numpy()[~known])
-        state.append(s[~known])
-    if not gram:
-        return
-    g, d, s = map(np.concatenate, (gram, doc, state))
-    order = np.argsort(g, kind="stable")
-    g, d, s = g[order], d[order], s[order]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    count = np.diff(np.append(begin, len(g)))
-    stands = np.add.reduceat(s, begin) if len(g) else s
-    hit = np.repeat((count > 1) | (stands > 0), count) & (s == ALONE)
-    yield pa.record_batch({"doc_id": pa.array(d[hit]), "gram": pa.array(g[hit])})
+def _repeated(held_most: int = ANCHORS_HELD):
+    """(doc_id, gram) of the anchors that occur twice or more; rows come in order of gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, before = 0, None  # before: a gram of which rows were given out already
+
+        def settle(last: bool) -> pa.RecordBatch:
+            nonlocal held, rows, before
+            g, d, s = map(np.concatenate, zip(*held))
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            end = begin[-1] if not last and len(begin) > 1 else len(g)  # the last gram may go on
+            count = np.diff(np.append(begin, len(g)))
+            several = (count > 1) | (np.add.reduceat(s, begin) > 0)
+            if before is not None:
+                several[0] |= g[0] == before
+            if end < len(g):
+                held, before = [(g[end:], d[end:], s[end:])], None
+            elif not last and not several[-1]:
+                held, end, before = [(g[-1:], d[-1:], s[-1:])], len(g) - 1, None
+            else:
+                held, before = [], g[-1]
+            rows = sum(len(x[0]) for x in held)
+            hit = (np.repeat(several, count) & (s == ALONE))[:end]
+            return pa.record_batch({"doc_id": pa.array(d[:end][hit]), "gram": pa.array(g[:end][hit])})
+
+        for batch in batches:
+            s = batch.column("state").to_numpy()
+            known = s == REPEATED
+            if known.any():
+                some = batch.filter(pa.array(known))
+                yield pa.record_batch({"doc_id": some.column("doc_id"), "gram": some.column("gram")})
+            if not known.all():
+                held.append((batch.column("gram").to_numpy()[~known], batch.column("doc_id").to_numpy()[~known], s[~known]))
+                rows += len(held[-1][0])
+                if rows > held_most:
+                    yield settle(False)
+        if held:
+            yield settle(True)
+
+    return run
 
 
 STRETCH = "key long, gram long, doc_id long, start long, stop long, bytes binary"
@@ -298,8 +325,8 @@ def refine(grams: np.ndarray, q: int, at: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _settle(doc: np.ndarray, start: np.ndarray, flat: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of the windows of these stretches that have an equal, earlier one among them."""
+def _settle(doc: np.ndarray, start: np.ndarray, flat: np.ndarray, bound: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Intervals of the windows of these stretches that have an equal, earlier one among them; hash, document and start of the others."""
     q = LENGTH // 4
     sums = K.prefix_hash(flat)
     n = len(flat)
@@ -309,104 +336,161 @@ def _settle(doc: np.ndarray, start: np.ndarray, flat: np.ndarray, bound: np.ndar
     row = np.repeat(np.arange(len(count)), count)
     shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     pointer = refine(grams, q, bound[row] + shift, LENGTH)
-    live = np.flatnonzero(pointer >= 0)
-    row, shift, pointer = row[live], shift[live], pointer[live]
     where = start[row] + shift
-    order = np.lexsort((where, doc[row], pointer))
+    live = np.flatnonzero(pointer >= 0)
+    order = live[np.lexsort((where[live], doc[row[live]], pointer[live]))]
     p = pointer[order]
     late = order[np.concatenate([[False], p[1:] == p[:-1]])] if len(p) else order
-    return _merge(doc[row[late]], where[late], where[late] + LENGTH)
+    first = np.ones(len(row), bool)
+    first[late] = False
+    at = bound[row[first]] + shift[first]
+    return _merge(doc[row[late]], where[late], where[late] + LENGTH), (_i64(K.span_hash(sums, at, at + LENGTH)), doc[row[first]], where[first])
+
+
+CUT = "doc_id long, start long, stop long, gram long, window long"
+
+
+def _cut(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.int64())
+    return _record(CUT, doc, start, stop, none, none)
+
+
+def _refine(held_most: int = BYTES_HELD):
+    """Intervals to remove, from stretches in order of gram; of a bucket over held_most bytes also the first windows of its pieces."""
+
+    def settled(table: pa.Table, open_: bool) -> Iterator[pa.RecordBatch]:
+        gram, doc, start, stop = (table[c].to_numpy() for c in ("gram", "doc_id", "start", "stop"))
+        text = []
+        for chunk in table["bytes"].chunks:
+            for _, _, buf, off in K.slices(chunk):
+                text.append(K.span_hash(K.prefix_hash(buf), off[:-1], off[1:]))
+        text = np.concatenate(text)
+        order = np.lexsort((start, doc, text, gram))
+        g, t = gram[order], text[order]
+        same = np.concatenate([[False], (t[1:] == t[:-1]) & (g[1:] == g[:-1])])
+        equal, lead = order[same], order[~same]
+        if len(equal):
+            yield _cut(*_merge(doc[equal], start[equal], stop[equal]))
+        g = gram[lead]
+        new = np.concatenate([[True], g[1:] != g[:-1]])
+        if not open_:  # one stretch alone has no equal windows
+            begin = np.flatnonzero(new)
+            count = np.diff(np.append(begin, len(g)))
+            keep = np.repeat(count > 1, count)
+            lead, g, new = lead[keep], g[keep], new[keep]
+        if not len(lead):
+            return
+        size = np.cumsum(stop[lead] - start[lead])
+        part = size // REFINED
+        part = part[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]  # a bucket stays whole
+        for k in np.unique(part):
+            mine = lead[part == k]
+            column = table["bytes"].take(pa.array(mine)).combine_chunks()
+            column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+            bound = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            flat = np.frombuffer(column.buffers()[2], np.uint8)[bound[0] : bound[-1]]
+            late, (window, d, s) = _settle(doc[mine], start[mine], flat, bound - bound[0])
+            yield _cut(*late)
+            if open_:
+                yield _record(CUT, d, s, s + LENGTH, np.full(len(d), g[0]), window)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, before = 0, None  # before: a gram of which a piece was refined already
+        for batch in batches:
+            open_ = batch.column("bytes").is_valid().to_numpy(zero_copy_only=False)
+            if not open_.all():
+                rows = batch.filter(pa.array(~open_))
+                yield _cut(*(rows.column(c).to_numpy() for c in ("doc_id", "start", "stop")))
+            if not open_.any():
+                continue
+            held.append(batch.filter(pa.array(open_)))
+            size += held[-1].column("bytes").nbytes
+            if size <= held_most:
+                continue
+            table = pa.Table.from_batches(held)
+            gram = table["gram"].to_numpy()
+            first, last = (int(np.searchsorted(gram, gram[k], side)) for k, side in ((0, "right"), (-1, "left")))
+            if before is not None and gram[0] == before:  # one more piece of that bucket
+                yield from settled(table.slice(0, first), True)
+                before, done = (before if first == len(gram) else None), first
+            elif first == len(gram):  # a bucket that is larger than what is held
+                yield from settled(table, True)
+                before, done = gram[0], first
+            else:
+                yield from settled(table.slice(0, last), False)
+                before, done = None, last
+            held = table.slice(done).to_batches() if done < len(gram) else []
+            size = sum(b.column("bytes").nbytes for b in held)
+        if held:
+            table = pa.Table.from_batches(held)
+            gram = table["gram"].to_numpy()
+            if before is not None and gram[0] == before:
+                first = int(np.searchsorted(gram, before, "right"))
+                yield from settled(table.slice(0, first), True)
+                table = table.slice(first)
+            if table.num_rows:
+                yield from settled(table, False)
 
-CUT = "doc_id long, start long, stop long"
+    return run
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals to remove, from the stretches of a partition."""
-    held: list[pa.RecordBatch] = []
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals of the windows that equal the one before them; rows come in order of window, gram, document and start."""
+    w0 = g0 = None
     for batch in batches:
-        open_ = batch.column("bytes").is_valid().to_numpy(zero_copy_only=False)
-        if not open_.all():
-            rows = batch.filter(pa.array(~open_))
-            yield pa.record_batch({c: rows.column(c) for c in ("doc_id", "start", "stop")})
-        if open_.any():
-            held.append(batch.filter(pa.array(open_)))
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    held.clear()
-    gram, doc, start, stop = (table[c].to_numpy() for c in ("gram", "doc_id", "start", "stop"))
-    text = []
-    for chunk in table["bytes"].chunks:
-        for _, _, buf, off in K.slices(chunk):
-            text.append(K.span_hash(K.prefix_hash(buf), off[:-1], off[1:]))
-    text = np.concatenate(text)
-    order = np.lexsort((start, doc, text, gram))
-    g, t = gram[order], text[order]
-    same = np.concatenate([[False], (t[1:] == t[:-1]) & (g[1:] == g[:-1])])
-    settled, lead = order[same], order[~same]
-    if len(settled):
-        d, s, e = _merge(doc[settled], start[settled], stop[settled])
-        yield _record(CUT, d, s, e)
-    g = gram[lead]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    count = np.diff(np.append(begin, len(g)))
-    keep = np.repeat(count > 1, count)
-    lead, g = lead[keep], g[keep]  # one stretch alone has no equal windows
-    if not len(lead):
-        return
-    size = np.cumsum(stop[lead] - start[lead])
-    part = size // REFINED
-    new = np.concatenate([[True], g[1:] != g[:-1]])
-    part = part[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]  # a bucket stays whole
-    for k in np.unique(part):
-        mine = lead[part == k]
-        column = table["bytes"].take(pa.array(mine)).combine_chunks()
-        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-        bound = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        flat = np.frombuffer(column.buffers()[2], np.uint8)[bound[0] : bound[-1]]
-        yield _record(CUT, *_settle(doc[mine], start[mine], flat, bound - bound[0]))
-
-
-def unique_ids(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with ``row``, unique and in the order of doc_id; and what doc_id was multiplied by."""
-    most = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    if most == 1:
-        return docs.withColumn("row", F.col("doc_id")), 1
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.col("doc_id") * most + F.row_number().over(order) - 1)), most
-
-
-def cuts(docs: DataFrame) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        w, g, doc, start = (batch.column(c).to_numpy() for c in ("window", "gram", "doc_id", "start"))
+        late = np.concatenate([[w[0] == w0 and g[0] == g0], (w[1:] == w[:-1]) & (g[1:] == g[:-1])])
+        w0, g0 = w[-1], g[-1]
+        d, s, e = _merge(doc[late], start[late], start[late] + LENGTH)
+        yield pa.record_batch({"doc_id": pa.array(d), "start": pa.array(s), "stop": pa.array(e)})
+
+
+def cuts(docs: DataFrame, anchors_held: int = ANCHORS_HELD, bytes_held: int = BYTES_HELD) -> DataFrame:
     """doc_id and its list of intervals (start, stop) of bytes to remove; docs: doc_id (unique, or null) and text."""
     named = docs.filter("doc_id is not null")
-    often = named.mapInArrow(K.tidy(_frequent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    often = often.orderBy(F.desc("n"), "gram").limit(KNOWN).toArrow()
+    often, total = observed(named.mapInArrow(K.tidy(_frequent), "gram long, n long"), n=F.sum("n"))
+    often = often.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") * KNOWN >= (total["n"] or 0)).toArrow()
     known = docs.sparkSession.sparkContext.broadcast(np.sort(often["gram"].to_numpy().view(np.uint64)))
-    found = named.mapInArrow(K.tidy(_find(known)), FOUND).repartition("key").mapInArrow(K.tidy(_repeated), "doc_id long, gram long")
+    found = named.mapInArrow(K.tidy(_find(known)), FOUND).repartition("key").sortWithinPartitions("gram")
+    found = found.mapInArrow(K.tidy(_repeated(anchors_held)), "doc_id long, gram long")
     grams = found.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     both = docs.join(grams, "doc_id", "left").select("doc_id", "text", "grams")
-    parts = both.mapInArrow(K.tidy(_stretches(known)), STRETCH).repartition("key").mapInArrow(K.tidy(_refine), CUT)
-    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    parts = both.mapInArrow(K.tidy(_stretches(known)), STRETCH).repartition("key").sortWithinPartitions("gram")
+    parts, n_open = counted(parts.mapInArrow(K.tidy(_refine(bytes_held)), CUT), F.col("window").isNotNull())
+    forget(docs.sparkSession)
+    out = parts.filter("window is null").select("doc_id", "start", "stop")
+    if n_open:
+        order = ("window", "gram", "doc_id", "start")
+        dealt = parts.filter("window is not null").select(*order).repartition("window").sortWithinPartitions(*order)
+        out = out.unionByName(dealt.mapInArrow(K.tidy(_late), "doc_id long, start long, stop long"))
+    return out.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, text: bool = False, carry: tuple[str, ...] = (), anchors_held: int = ANCHORS_HELD, bytes_held: int = BYTES_HELD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``text`` also the kept bytes, and columns to carry.
 
     Carried columns travel with the cuts, so that the texts are dealt out once. They are null where doc_id is.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    named, times = unique_ids(docs)
-    rows = named.select(F.col("row").alias("doc_id"), "text")
-    side = cuts(rows)
-    if carry:
-        side = named.select(F.col("row").alias("doc_id"), *carry).filter("doc_id is not null").join(side, "doc_id", "left")
-    types = dict(docs.dtypes)
-    schema = RESULT + (", kept binary" if text else "") + "".join(f", `{c}` {types[c]}" for c in carry)
-    names = [x.split()[0] for x in RESULT.split(", ")] + ["kept"] * text + list(carry)
+    wanted = {f"_{k}": c for k, c in enumerate(carry)}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in wanted.items()])
+    named, repeated = unique_rows(docs)
+    if repeated:
+        named = named.withColumn("_id", F.col("doc_id"))
+        wanted["_id"] = "_id"
+    named = named.withColumn("doc_id", F.col("row")).drop("row")
+    rows = named.select("doc_id", "text")
+    side = cuts(rows, anchors_held, bytes_held)
+    if wanted:
+        side = named.select("doc_id", *wanted).filter("doc_id is not null").join(side, "doc_id", "left")
+    types = dict(named.dtypes)
+    schema = RESULT + (", kept binary" if text else "") + "".join(f", `{c}` {types[c]}" for c in wanted)
+    names = [x.split()[0] for x in RESULT.split(", ")] + ["kept"] * text + list(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,10 +512,11 @@ def dedup(docs: DataFrame, text: bool = False, carry: tuple[str, ...] = ()) -> D
                     out.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept if text else None))
                 n, removed, spans, sha, kept = zip(*out)
                 cols = [batch.column("doc_id").slice(done, len(out)), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())]
-                cols += [pa.array(kept, pa.binary())] * text + [batch.column(c).slice(done, len(out)) for c in carry]
+                cols += [pa.array(kept, pa.binary())] * text + [batch.column(c).slice(done, len(out)) for c in wanted]
                 yield pa.record_batch(cols, names=names)
                 done += len(out)
                 out.clear()
 
-    out = rows.join(side, "doc_id", "left").select("doc_id", "text", "cuts", *carry).mapInArrow(K.tidy(run), schema)
-    return out.withColumn("doc_id", F.expr(f"doc_id div {times}")) if times > 1 else out
+    out = rows.join(side, "doc_id", "left").select("doc_id", "text", "cuts", *wanted).mapInArrow(K.tidy(run), schema)
+    first = F.col("_id" if repeated else "doc_id").alias("doc_id")
+    return out.select(first, *[c for c in out.columns if c != "doc_id" and c not in wanted], *[F.col(k).alias(c) for k, c in wanted.items() if k != "_id"])

@@ -69,6 +69,40 @@ def test_common_lines_and_passages(spark):
     assert df.mapInArrow(suffix._frequent, "gram long, n long").count() > 0
 
 
+@pytest.mark.parametrize("bytes_held", [1, 2000])
+def test_buckets_larger_than_what_a_task_holds(spark, bytes_held):
+    rows = passages(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(suffix.dedup(df, anchors_held=3, bytes_held=bytes_held)) == brute(rows)
+
+
+def test_anchors_settled_in_pieces():
+    """What counts as repeated does not depend on how many anchors are held."""
+    rng = np.random.default_rng(2)
+    gram = np.sort(rng.integers(0, 400, 500))
+    doc, state = rng.integers(0, 99, 500), rng.choice([suffix.ALONE, suffix.ALONE, suffix.ALONE, suffix.STANDS], 500).astype(np.int32)
+    batches = [suffix._record(suffix.FOUND, gram[i : i + 11], gram[i : i + 11], doc[i : i + 11], state[i : i + 11]) for i in range(0, 500, 11)]
+    want = sorted((d, g) for d, g, s in zip(doc.tolist(), gram.tolist(), state.tolist()) if s == suffix.ALONE and ((gram == g).sum() > 1 or (state[gram == g] == suffix.STANDS).any()))
+    for held in (1, 2, 17, 10**6):
+        got = [x for out in suffix._repeated(held)(iter(batches)) for x in zip(out.column("doc_id").to_pylist(), out.column("gram").to_pylist())]
+        assert sorted(got) == want
+
+
+def test_any_ids(spark):
+    """Negative, huge and repeated ids, and columns that are named as columns used inside."""
+    rnd = random.Random(8)
+    a, b, c = ("".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(-5, a), (-5, b + "y"), (2**63 - 1, a[50:] + c), (-(2**63), b), (-4, c), (None, a), (0, a + "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("row", "cuts", "key", "gram", "start", "kept", "_id", "_key", "_0", "n_bytes"):
+        df = df.withColumn(name, F.lit("x"))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.dedup(df).collect() if r.doc_id is not None)
+    assert got == [(-(2**63), 300, 0), (-5, 300, got[1][2]), (-5, 301, got[2][2]), (-4, 300, 0), (0, 301, 300), (2**63 - 1, 550, 550)]
+    assert sorted(x[2] for x in got[1:3]) == [0, 300]
+    one = suffix.dedup(df.filter("doc_id <> -5"), carry=("row", "_id"))
+    assert [c for c in one.columns if c in ("row", "_id")] == ["row", "_id"] and {(r.row, r["_id"]) for r in one.collect()} == {("x", "x")}
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert result(registry.op10_suffix_dedup(spark, SF)) == brute([(r.doc_id, r.text) for r in docs])
