@@ -15,6 +15,8 @@ from lakecairn.operators.ranges import numbered
 
 #: Rows of a few numbers that may be broadcast, after counting them; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of a few numbers that make a task: counted small tables are not spread over many.
+TASK_ROWS = 1 << 20
 #: Edges that one task may take together, after counting them; more go through rounds of joins.
 ONE_TASK_EDGES = 500_000
 
@@ -62,7 +64,7 @@ def unique_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
     Only then rows are numbered: rows of one id by their text's hash.
     """
     named = docs.filter("doc_id is not null")
-    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if few(named.groupBy("doc_id").count(), named.count()).filter("count > 1").isEmpty():
         return docs.withColumn("row", F.col("doc_id")), False
     keyed = numbered(named.withColumn("_key", F.struct("doc_id", F.xxhash64("text"))), "_key", "row").drop("_key")
     rest = docs.filter("doc_id is null").withColumn("row", F.lit(None).cast("long"))
@@ -74,6 +76,11 @@ def small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+def few(df: DataFrame, n_rows: int) -> DataFrame:
+    """df of n_rows rows at most, a few numbers each, in no more tasks than they are worth."""
+    return df.coalesce(max(1, -(-n_rows // TASK_ROWS)))
+
+
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Components of all edges given, by union and find."""
     up: dict[int, int] = {}

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import textkernel as K
-from lakecairn.llm.graph import checkpointed, components, counted, forget, observed, small, unique_rows
+from lakecairn.llm.graph import checkpointed, components, counted, few, forget, observed, small, unique_rows
 
 #: Percent of the union that two sets must share.
 PERCENT = 80
@@ -521,8 +521,8 @@ def _pairs(sets: DataFrame) -> DataFrame:
     refs, size = observed(refs, longs=F.sum(F.size("most") + 16))
     refs = F.broadcast(refs) if (size["longs"] or 0) <= VOLUME else refs
     volume = F.col("v") * F.coalesce("share", F.lit(1.0))
-    few = F.least(F.lit(BLOCKS), F.ceil(F.col("m") / BLOCK_SETS))
-    blocks = F.greatest(few, F.ceil(F.col("m") / MOST_SETS), F.ceil(2 * volume / VOLUME)).cast("int")
+    spread = F.least(F.lit(BLOCKS), F.ceil(F.col("m") / BLOCK_SETS))
+    blocks = F.greatest(spread, F.ceil(F.col("m") / MOST_SETS), F.ceil(2 * volume / VOLUME)).cast("int")
     cut = sets.join(refs, "component", "left").select("component", blocks.alias("blocks"), "doc_id", "n", "copies", "tokens", "most")
     cut = cut.mapInArrow(K.tidy(_differences), "component long, blocks int, doc_id long, n long, copies long, tokens array<long>")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -570,7 +570,7 @@ def _join(docs: DataFrame) -> DataFrame:
     few_sizes = range(1, 2 * LARGEST_SMALL + 1)
     by_size = [F.count_if((F.col("kind") == 0) & (F.col("n") == i)).alias(f"n{i}") for i in few_sizes]
     sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in (0, 1)]
-    sizes = scan.agg(sums[0].alias("total"), sums[1].alias("often"), *by_size).first()
+    sizes = scan.agg(F.count_if(F.col("kind") == 0).alias("rows"), sums[0].alias("total"), sums[1].alias("often"), *by_size).first()
     limit = boundary({i: sizes[f"n{i}"] for i in few_sizes})
     least = -(-PERCENT * (limit + 1) // 100)  # smaller sets meet all their partners by subsets
     # At most KNOWN shingles can have that share of all that are counted here.
@@ -579,8 +579,9 @@ def _join(docs: DataFrame) -> DataFrame:
     order = np.argsort(known)
     layout = spark.sparkContext.broadcast(Layout.of(sizes["total"], known[order], df[order]))
 
-    classes = checkpointed(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    named, n_copies = counted(rows.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", "first", "copies"), F.col("doc_id") != F.col("first"))
+    classes = checkpointed(few(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), sizes["rows"]))
+    named = rows.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", "first", "copies")
+    named, n_copies = counted(few(named, sizes["rows"]), F.col("doc_id") != F.col("first"))
     copies = small(named.filter("doc_id <> first").select("doc_id"), n_copies)
     forget(spark)
 
@@ -643,14 +644,15 @@ def _join(docs: DataFrame) -> DataFrame:
     shared = mine.mapInArrow(K.tidy(runs), RUNS).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(_count(layout)), RUNS)
     measured = rows.filter(f"n >= {max(1, least)} and doc_id is not null").select("doc_id", "n").mapInArrow(K.tidy(packed_sizes), RUNS)
     large = shared.unionByName(measured).repartition("part").sortWithinPartitions("part").mapInArrow(K.tidy(lambda b: _combine(_prefixes(b))), POSTING)
-    few = scan.filter(f"kind = 0 and n between 1 and {limit} and doc_id is not null").join(copies, "doc_id", "left_anti")
-    posted = large.unionByName(few.select("doc_id", "n", "tokens").mapInArrow(K.tidy(lambda b: _combine(subsets(b))), POSTING))
+    short = scan.filter(f"kind = 0 and n between 1 and {limit} and doc_id is not null").join(copies, "doc_id", "left_anti")
+    posted = large.unionByName(short.select("doc_id", "n", "tokens").mapInArrow(K.tidy(lambda b: _combine(subsets(b))), POSTING))
     edges = posted.repartition("key").sortWithinPartitions("token", "low").mapInArrow(K.tidy(_reduce), "a long, b long")
     clusters = components(edges)
 
     reps = named.filter("doc_id = first").select(F.col("first").alias("node"), "n", "copies")
-    member, n_member = counted(clusters.join(reps, "node").select(F.col("node").alias("doc_id"), "component", "n", "copies"))
-    volume, n_cut = counted(member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("v")).filter((F.col("m") > 2 * BLOCK_SETS) | (F.col("v") > VOLUME)))
+    member, n_member = counted(few(clusters.join(reps, "node").select(F.col("node").alias("doc_id"), "component", "n", "copies"), sizes["rows"]))
+    volume = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("v")).filter((F.col("m") > 2 * BLOCK_SETS) | (F.col("v") > VOLUME))
+    volume, n_cut = counted(few(volume, n_member))
     volume = small(volume, n_cut)
     forget(spark)
 
@@ -666,7 +668,8 @@ def _join(docs: DataFrame) -> DataFrame:
     links = checkpointed(parts.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(K.tidy(_scan_lists), LINK))
     if n_cut:  # blocks of one cluster know only their own links
         joined = components(links.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))).select(F.col("node").alias("doc_id"), "component")
-        links = checkpointed(links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(joined, "doc_id", "left").select("doc_id", "links", F.coalesce("component", "doc_id").alias("component")))
+        links = links.groupBy("doc_id").agg(F.sum("links").alias("links")).join(joined, "doc_id", "left")
+        links = checkpointed(few(links.select("doc_id", "links", F.coalesce("component", "doc_id").alias("component")), n_member))
     links = links.select(F.col("doc_id").alias("first"), "component", "links")
     out = named.join(small(links, n_member), "first", "left")
     return out.select(

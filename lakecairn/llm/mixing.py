@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lakecairn.llm import quality
 from lakecairn.llm import textkernel as K
-from lakecairn.llm.graph import checkpointed
+from lakecairn.llm.graph import checkpointed, few
 
 #: Labelled rows to learn from, about (documented bound).
 SAMPLE = 8000
@@ -165,6 +165,13 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy().reshape(-1, width)
 
 
+def _sum_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors v of this size: a few numbers a domain, or a pair of domains."""
+    each = parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    found = dict(few(each, size).collect())
+    return np.array([found.get(i, 0.0) for i in range(size)])
+
+
 @dataclass
 class Fit:
     domains: list[str]
@@ -189,13 +196,11 @@ def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], toleranc
                         total[width:] += ((p * t[:, None]).T @ p).ravel()
             yield pa.record_batch({"v": pa.array([total], pa.list_(pa.float64()))})
 
-        per = soft.mapInArrow(K.tidy(run), "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-        found = dict(per.collect())  # one number a domain, or a pair of domains
-        return np.array([found.get(i, 0.0) for i in range(len(found))])
+        return _sum_up(soft.mapInArrow(K.tidy(run), "v array<double>"), width + (width * width if squares else 0))
 
     steps = np.zeros((0, width))
     first = sums(steps, True) if width else np.zeros(0)
-    natural = first[:width] if len(first) else np.zeros(width)
+    natural = first[:width]
     total = natural.sum()
     asked = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     if not width or not total or not asked.sum():
@@ -261,9 +266,8 @@ def select(soft: DataFrame, domains: list[str], weights: dict[str, float], toler
                         row[1 + width :] += ((q * (t * ((u >= 0) & (u <= 1)))[:, None]).T @ q).ravel()
             yield pa.record_batch({"v": pa.array([total.ravel()], pa.list_(pa.float64()))})
 
-        per = soft.mapInArrow(K.tidy(run), "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-        found = dict(per.collect())  # a few numbers a domain, or a pair of domains
-        return np.array([found.get(i, 0.0) for i in range(len(prices) * (1 + width + width * width))]).reshape(len(prices), -1)
+        size = len(prices) * (1 + width + width * width)
+        return _sum_up(soft.mapInArrow(K.tidy(run), "v array<double>"), size).reshape(len(prices), -1)
 
     price = np.zeros(width)
     (now,) = sums(price[None])
