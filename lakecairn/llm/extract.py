@@ -3,11 +3,13 @@
 A page's text runs are gathered into blocks, each with its root-to-leaf path of
 block tags. Text length and punctuation are summed per path; the ratios (per block)
 are put back on the sequence of blocks, smoothed over neighbours, fused into one
-value, averaged per path again, and compared with the page's threshold. The content
-container is the article or main element, or else the smallest element that holds all
-text on paths above the threshold. Every block of it is kept, whole, unless a menu,
-header, footer, sidebar, notice, advert, form or comment holds it, or its path is below
-the threshold and stands in an element of its own that is mostly links.
+value and averaged per path again. Paths of menus, headers, footers, sidebars, notices,
+adverts, forms and comments, as tags and class words tell them, count for a small part of
+that. Paths with a value above a share of the page's greatest are content, and the values
+alone decide where the article is: it is the smallest element with most of what content
+paths are worth, grown while what it grows by is content too, or up to its own article or
+main element. Every block of it is kept, whole, unless its path is below the threshold and
+either marked as said or in an element of its own that is mostly links.
 
 Defined cases: null or empty html gives empty text and 0 characters; a page without
 content blocks the same; broken or unclosed markup is read as far as it goes;
@@ -51,6 +53,9 @@ AROUND = frozenset(
 #: First parts of class names that tell of a page's state, not of an element's kind.
 STATES = frozenset("has with without no is".split())
 
+#: What the value of a path that stands around an article counts for.
+PRIOR = 1e-3
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -81,6 +86,11 @@ class Block:
     def __init__(self, path: tuple[str, ...], text: str, linked: int, around: bool, main: bool, within: tuple[int, ...]):
         self.path, self.text, self.linked, self.around, self.main, self.within = path, text, linked, around, main, within
 
+    @property
+    def kind(self) -> tuple[tuple[str, ...], bool]:
+        """What has a value of its own: a path, and whether it stands around the article."""
+        return self.path, self.around
+
     def container(self) -> tuple[int, ...]:
         """The elements down to the one that holds the block beside others."""
         end = len(self.path)
@@ -191,15 +201,15 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def path_values(found: list[Block], width: float = 1.0) -> dict[tuple[str, ...], float]:
+def path_values(found: list[Block], width: float = 1.0) -> dict[tuple[tuple[str, ...], bool], float]:
     """The fused, smoothed ratio of each tag path."""
     length, points, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for b in found:
-        length[b.path] += max(0, len(b.text) - b.linked)
-        points[b.path] += len(_PUNCT.findall(b.text))
-        count[b.path] += 1
-    by_text = np.array([length[b.path] / count[b.path] for b in found])
-    by_point = np.array([points[b.path] / count[b.path] for b in found])
+        length[b.kind] += max(0, len(b.text) - b.linked)
+        points[b.kind] += len(_PUNCT.findall(b.text))
+        count[b.kind] += 1
+    by_text = np.array([length[b.kind] / count[b.kind] for b in found])
+    by_point = np.array([points[b.kind] / count[b.kind] for b in found])
     around = np.arange(-2, 3)
     kernel = np.exp(-(around**2) / (2 * width**2))
     kernel /= kernel.sum()
@@ -207,50 +217,59 @@ def path_values(found: list[Block], width: float = 1.0) -> dict[tuple[str, ...],
     fused = smooth(by_text) * (1 + smooth(by_point))
     total = defaultdict(float)
     for b, v in zip(found, fused):
-        total[b.path] += v
-    return {p: total[p] / count[p] for p in count}
+        total[b.kind] += v
+    return {k: total[k] / count[k] * (PRIOR if k[1] else 1.0) for k in count}
 
 
-def main_text(page: str | None, strength: float = 0.5) -> str:
-    """The page's content blocks, joined by newlines. strength: threshold in deviations of the path values."""
+def main_text(page: str | None, strength: float = 0.5, share: float = 0.9) -> str:
+    """The page's content blocks, joined by newlines.
+
+    strength: the threshold, as a part of the greatest path value; share: of the content paths' values that the article has.
+    """
     found = blocks(page or "")
-    inner = [b for b in found if not b.around]
-    if any(b.main for b in inner):
-        inner = [b for b in inner if b.main]
-    if not inner:
+    if all(b.around for b in found):
         return ""
-    value = path_values(inner)
-    spread = float(np.std(list(value.values())))
-    least = min(max(value.values()), strength * spread)
-    above = [b for b in inner if value[b.path] >= least]
-    strong = [b for b in above if not _is_linked([b])] or above
-    if any(b.main for b in inner):
-        kept, own = inner, lambda b: b.path[len(b.container()) - 1] in MAIN
-    else:
-        home = _common([b.container() for b in strong])
-        kept = [b for b in inner if b.within[: len(home)] == home]
-        whole = not home or strong[0].path[len(home) - 1] in PAGE
-        own = lambda b: not whole and b.container() == home
+    value = path_values(found)
+    least = strength * max(value.values())
+    strong = [b for b in found if value[b.kind] >= least]
+    home, tag = _home(strong, value, share)
+    kept = [b for b in found if b.within[: len(home)] == home and (value[b.kind] >= least or not b.around)]
+    whole = tag is None or tag in PAGE
+    if whole:
+        # An article that is not in one element: what article and main elements hold, if they hold that much.
+        worth = lambda some: sum(value[b.kind] for b in some)
+        if worth(b for b in strong if b.main) >= share * worth(strong) > 0:
+            kept = [b for b in kept if b.main or b.around]
     # A container with text above the threshold, or around such text, is no list of links.
     full = {b.container()[:k] for b in strong for k in range(len(b.container()) + 1)}
+    own = lambda b: not whole and b.container() == home
     weak = defaultdict(list)
     for b in kept:
-        if value[b.path] < least and not own(b):
+        if value[b.kind] < least and not own(b):
             where = b.container()
             weak[where if where not in full else (where, b.path)].append(b)
     links = {id(b) for group in weak.values() if _is_linked(group) for b in group}
     return "\n".join(b.text for b in kept if id(b) not in links)
 
 
-def _is_linked(group: list[Block]) -> bool:
-    return sum(b.linked for b in group) >= 0.5 * sum(len(b.text) for b in group)
+def _home(strong: list[Block], value: dict, share: float) -> tuple[tuple[int, ...], str | None]:
+    """The element that is the article, by what the content blocks are worth, and its tag."""
+    worth, tags = defaultdict(float), {}
+    for b in strong:
+        place = b.container()
+        for k in range(len(place) + 1):
+            worth[place[:k]] += value[b.kind] * (1 - b.linked / len(b.text))
+            tags[place[:k]] = b.path[:k]
+    home = max((c for c in worth if worth[c] >= share * worth[()]), key=len)  # of texts without links
+    while len(home) > 1 and tags[home[:-1]][-1] not in PAGE:
+        if MAIN.isdisjoint(tags[home[:-1]]) and worth[home[:-1]] <= worth[home]:
+            break  # nothing more to gain, and no article or main element to fill
+        home = home[:-1]
+    return home, (tags[home][-1] if home else None)
 
 
-def _common(places: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """The elements that hold all places."""
-    low, high = min(places), max(places)
-    n = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    return low[:n]
+def _is_linked(group: list[Block]) -> bool:
+    return sum(b.linked for b in group) >= 0.5 * sum(len(b.text) for b in group)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

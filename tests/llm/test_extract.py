@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 
+import pandas as pd
+
 from lakecairn.llm import extract, registry
 from tests.conftest import SF
 
@@ -69,3 +72,31 @@ def test_query_keeps_whole_articles(spark):
         parts = [re.sub(r"\s+", " ", h.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
         assert got[p.page_id].text == "\n".join(x for x in parts if x)
         assert got[p.page_id].url == p.url
+
+
+def _pages():
+    return pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html.tolist()
+
+
+def test_ratios_decide(monkeypatch):
+    """With ratios that say nothing, or anything, most pages come out otherwise."""
+    pages = _pages()
+    found, real = [extract.main_text(p) for p in pages], extract.path_values
+    same = lambda: sum(extract.main_text(p) == x for p, x in zip(pages, found)) / len(pages)
+    monkeypatch.setattr(extract, "path_values", lambda blocks, width=1.0: dict.fromkeys(real(blocks), 1.0))
+    assert same() < 0.2
+    rnd = random.Random(4)
+    monkeypatch.setattr(extract, "path_values", lambda blocks, width=1.0: {k: rnd.random() for k in real(blocks)})
+    assert same() < 0.4
+
+
+def test_articles_without_their_tag_and_without_class_names():
+    pages = _pages()
+    found = [extract.main_text(p) for p in pages]
+    bare = [re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"(</?)article\b", r"\1div", p)) for p in pages]
+    assert bare != pages and sum(extract.main_text(p) == x for p, x in zip(bare, found)) >= 0.95 * len(pages)
+
+
+def test_what_stands_around_is_not_an_article():
+    assert extract.main_text("<nav><a href=/>Home</a></nav><footer>Long words about rights, all of them; reserved.</footer>") == ""
+    assert extract.main_text("<body><footer>Long words about rights, all of them; reserved. " + "More, and more. " * 30 + "</footer><div><p>Hi.</p></div></body>") == "Hi."
