@@ -17,10 +17,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakecairn.llm import graph
+
 #: Hashes kept, and words of a shingle.
 K, WORDS = 128, 5
 #: Rows of an id range, and ranges at most: their table is broadcast.
 RANGE_ROWS, MAX_RANGES = 500, 200_000
+#: Times RANGE_ROWS (or the mean, where that is more) from which a range is cut again, and how often at most.
+UNEVEN, CUTS = 4, 8
 
 _SPAN = 2.0**64
 
@@ -85,19 +89,46 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, payload: dict[str, Column], count: int, low: int, high: int) -> DataFrame:
+def by_ranges(docs: DataFrame) -> DataFrame:
+    """docs with ``own``, the number of a range of doc_id, in the order of ids (-1: no id).
+
+    Ranges are of equal width at first; one with too many rows is cut again between its least and greatest id,
+    so that ids far from the others, or close together, do not gather rows in one range.
+    """
+    found = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    count, low, high = found["n"], found["low"] or 0, found["high"] or 0
+    ranges = max(1, min(MAX_RANGES, math.ceil(count / RANGE_ROWS)))
+    most = max(RANGE_ROWS, math.ceil(count / ranges))
+    from_low = F.col("doc_id") - F.lit(low) if high - low < 1 << 63 else F.col("doc_id").cast("double") - float(low)
+    own = F.coalesce(F.floor(from_low / F.lit(float(max(1, math.ceil((high - low + 1) / ranges))))), F.lit(-1)).cast("long")
+    docs = docs.withColumn("own", own)
+    for _ in range(CUTS):
+        each = docs.groupBy("own").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        heavy = (F.col("n") > UNEVEN * most) & (F.col("hi") > F.col("lo"))
+        each, n_heavy = graph.counted(graph.few(each, 4 * MAX_RANGES), heavy)
+        if not n_heavy:
+            break
+        pieces = F.when(heavy, F.ceil(F.col("n") / most)).otherwise(1).cast("long")
+        width = F.floor((F.col("hi") - F.col("lo")) / pieces) + 1
+        before = F.coalesce(F.sum(pieces).over(Window.orderBy("own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a table of one row a range
+        table = each.select("own", "lo", width.alias("width"), before.alias("before"))
+        docs = docs.join(F.broadcast(table), "own")
+        named = F.col("before") + F.floor((F.col("doc_id") - F.col("lo")) / F.col("width"))
+        docs = docs.withColumn("own", F.when(F.col("doc_id").isNull(), -1).otherwise(named).cast("long")).drop("lo", "width", "before")
+    return docs
+
+
+def with_next(docs: DataFrame, payload: dict[str, Column]) -> DataFrame:
     """doc_id, text, each payload column, and of the row after it by doc_id (after the last: the first) next_<name>.
 
     Rows are dealt by ranges of doc_id. The first id of each range also goes, as a guard, to the end
     of the range before, so that every row finds the next one in its own range.
     """
-    ranges = max(1, min(MAX_RANGES, math.ceil(count / RANGE_ROWS)))
-    width = max(1, math.ceil((high - low + 1) / ranges))
-    pid = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    firsts = docs.select("doc_id").groupBy(pid.alias("pid")).agg(F.min("doc_id").alias("first"))
-    one = Window.orderBy("pid")  # a table of MAX_RANGES rows at most
+    docs = by_ranges(docs.select("doc_id", "text"))
+    firsts = docs.groupBy(F.col("own").alias("pid")).agg(F.min("doc_id").alias("first"))
+    one = Window.orderBy("pid")  # a table of one row a range
     guards = firsts.withColumn("to", F.coalesce(F.lag("pid").over(one), F.max("pid").over(Window.partitionBy()))).select("first", "to")
-    dealt = docs.select(pid.alias("own"), "doc_id", "text").join(F.broadcast(guards), F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    dealt = docs.join(F.broadcast(guards), F.col("doc_id").eqNullSafe(F.col("first")), "left")
     where = F.explode(F.when(F.col("first").isNull() & F.col("to").isNull(), F.array(F.struct(F.col("own").alias("pid"), F.lit(False).alias("guard")))).otherwise(F.array(F.struct(F.col("own").alias("pid"), F.lit(False).alias("guard")), F.struct(F.col("to").alias("pid"), F.lit(True).alias("guard")))))
     rows = dealt.select(where.alias("at"), "doc_id", "text").select("at.pid", "at.guard", "doc_id", "text").repartition("pid")
     for name, col in payload.items():
@@ -116,8 +147,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     the next document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    rows = with_next(docs, {"_hashes": word_hashes(F.col("text")), "sketch": sketch_of(F.col("_hashes"), k)}, found["n"], found["low"] or 0, found["high"] or 0)
+    rows = with_next(docs, {"_hashes": word_hashes(F.col("text")), "sketch": sketch_of(F.col("_hashes"), k)})
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("_m", F.floor(n / 4).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - _m)"), F.expr("substring(next_text, 1, _m)"))

@@ -58,6 +58,21 @@ def test_ranges_and_odd_rows(spark, monkeypatch):
     assert sketch.fingerprints(odd.union(odd)).count() == 2 * odd.count()
 
 
+def test_ids_far_apart_and_close_together(spark):
+    """Ranges stay even with outlying, negative and huge ids."""
+    dense = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    for far in ([10**12], [-(2**62), 2**62], [2**63 - 1, -(2**63)], []):
+        ids = dense.unionByName(spark.createDataFrame([(x,) for x in far], "doc_id long"))
+        dealt = sketch.by_ranges(ids).groupBy("own").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("own").collect()
+        assert max(r.n for r in dealt) <= sketch.UNEVEN * sketch.RANGE_ROWS and sum(r.n for r in dealt) == 20_000 + len(far)
+        assert all(a.hi < b.lo for a, b in zip(dealt, dealt[1:]))
+    rows = [(-(2**63), "a b c d e f"), (2**63 - 1, "b c d e f g"), (2**62, "x y"), (-(2**62), "x y z"), (0, None), (3, "one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("own", "pid", "guard", "first", "to", "sketch", "edited", "next_text", "lo", "before", "_hashes"):
+        docs = docs.withColumn(name, F.lit("x"))
+    check(docs.collect(), sketch.fingerprints(docs).collect())
+
+
 def test_parts_merge_into_the_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     parts = sketch.with_sketch(docs.withColumn("g", F.col("doc_id") % 3), "text", "sketch")
