@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import textkernel as K
+from lakecairn.llm.quality import bounded
 
 #: n-gram orders, and buckets of each order's table.
 ORDERS, BUCKETS = (2, 3, 4), 1 << 15
@@ -160,7 +161,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 8) -> Model:
     """Fit the bit classifiers on about ``sample`` rows (text, lang), drawn evenly by language.
 
-    The draw goes by the text's own hash, so it is the same wherever rows lie.
+    The draw goes by the text's own hash, so it is the same wherever rows lie, and a text is learnt once however often it stands there.
     """
     rows = labelled.select("text", "lang").filter("lang is not null and text is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -173,8 +174,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 8) -> Model:
     each = max(1, sample // len(langs))
     rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, each / counts[k]))])
     unit = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.withColumn("order", F.xxhash64("text")).filter(unit < rate[F.col("lang")]).limit(2 * sample + 100 * len(langs))
-    table = drawn.mapInArrow(K.tidy(_features), "lang string, order long, idx array<int>, share array<float>").toArrow()
+    drawn = rows.withColumn("order", F.xxhash64("text")).filter(unit < rate[F.col("lang")]).dropDuplicates(["order", "lang"])
+    table = drawn.mapInArrow(K.tidy(_features), "lang string, order long, idx array<int>, share array<float>")
+    table = bounded(table, "idx", F.col("order")).toArrow()
     table = table.sort_by([("order", "ascending"), ("lang", "ascending")]).combine_chunks()
     data = [
         (langs.index(lang), np.asarray(i.values), np.asarray(s.values))

@@ -10,7 +10,8 @@ where a domain's expected tokens are the sum of rate * tokens * posterior over a
 documents, and W is the inverse of the mean of posterior * posterior' over all tokens: with
 these weights domains that are often confused do not slow the descent. Each round is one
 pass that returns a few sums; a document's rate follows from its posteriors and the rounds'
-gradients, so nothing is kept but those.
+gradients, so nothing is kept but those. Rounds go on until the targets are met or the miss
+grows no less.
 
 Where a document can stay once or go (``select``), rates are within 0 and 1 and the kept
 tokens' shares meet the targets: of all such rates those nearest to 1, found by Newton's
@@ -86,8 +87,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, epochs: in
         return empty
     each = sample / len(domains)
     rate = F.create_map(*[F.lit(x) for k in domains for x in (k, min(1.0, each / counts[k]))])
-    drawn = known.filter(quality._unit() < rate[F.col("domain")]).limit(2 * sample + 10 * len(domains))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    drawn = known.filter(quality._unit() < rate[F.col("domain")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +100,8 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, epochs: in
                 at = pa.array((key & (quality.BUCKETS - 1)).astype(np.int32))
                 yield pa.record_batch(cols | {"idx": pa.ListArray.from_arrays(bound, at), "val": pa.ListArray.from_arrays(bound, pa.array(value))})
 
-    table = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
-    table = table.mapInArrow(K.tidy(run), "doc_id long, domain string, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    table = quality.one_text(docs, drawn, "domain").mapInArrow(K.tidy(run), "doc_id long, domain string, idx array<int>, val array<float>")
+    table = quality.bounded(table, "idx", F.col("doc_id")).toArrow().sort_by("doc_id").combine_chunks()
     data = [(np.asarray(i.values), np.asarray(v.values, np.float64), domains.index(y)) for i, v, y in zip(table["idx"], table["val"], table["domain"].to_pylist()) if len(i)]
     rows_with = np.bincount(np.concatenate([i for i, *_ in data]), minlength=quality.BUCKETS) if data else np.zeros(quality.BUCKETS)
     data = [(i[k], x[k], y) for i, x, y in data for k in [rows_with[i] >= LEAST_ROWS]]
@@ -180,44 +180,72 @@ class Fit:
     expected: np.ndarray  # tokens by domain at the fitted rates
     natural: np.ndarray  # tokens by domain at rate 1
 
+    @property
+    def miss(self) -> float:
+        """How far the worst domain is from its target, as a part of all tokens."""
+        total = self.natural.sum() if len(self.natural) else 0.0
+        return float(np.abs(self.expected - self.targets).max() / total) if total else 0.0
 
-def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], tolerance: float = 1e-4, rounds: int = 60) -> Fit:
-    """Projected gradient descent until every domain is within tolerance (of all tokens) of its target; warns where none is reached."""
+
+#: Rounds, and the part of the miss that they must mend, for a fit to go on.
+STILL, MENDED = 12, 2e-3
+#: Parts of a scaled step, and times of the plain one, that are tried in one pass.
+TRIED, TIMES = (1.0, 0.5, 0.25, 0.0625), (1.0, 4.0, 16.0, 64.0)
+
+
+def fit(soft: DataFrame, domains: list[str], weights: dict[str, float], tolerance: float = 1e-4, rounds: int = 200) -> Fit:
+    """Projected gradient descent until every domain is within tolerance (of all tokens) of its target.
+
+    A round tries the plain step, which never adds to the miss, longer ones, and parts of the one that is scaled by the
+    documents whose rates are above 0, and takes what misses least. Targets that no nonnegative rates meet end at the least
+    miss, which ``Fit.miss`` and a warning tell.
+    """
     width = len(domains)
 
-    def sums(steps: np.ndarray, squares: bool) -> np.ndarray:
+    def sums(steps: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        """For each step tried: expected tokens by domain, and second moments of documents with a rate."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width + (width * width if squares else 0))
+            total = np.zeros((len(tried), width + width * width))
             for batch in batches:
                 if batch.num_rows:
                     p, t = _matrix(batch.column("posteriors"), width), batch.column("tokens").to_numpy()
-                    total[:width] += (_rates(p, steps) * t) @ p
-                    if squares:
-                        total[width:] += ((p * t[:, None]).T @ p).ravel()
-            yield pa.record_batch({"v": pa.array([total], pa.list_(pa.float64()))})
+                    before = _rates(p, steps)
+                    for row, s in zip(total, tried):
+                        r = np.maximum(0.0, before - p @ s)
+                        row[:width] += (r * t) @ p
+                        row[width:] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+            yield pa.record_batch({"v": pa.array([total.ravel()], pa.list_(pa.float64()))})
 
-        return _sum_up(soft.mapInArrow(K.tidy(run), "v array<double>"), width + (width * width if squares else 0))
+        return _sum_up(soft.mapInArrow(K.tidy(run), "v array<double>"), len(tried) * (width + width * width)).reshape(len(tried), -1)
 
     steps = np.zeros((0, width))
-    first = sums(steps, True) if width else np.zeros(0)
-    natural = first[:width]
+    now = sums(steps, np.zeros((1, width)))[0] if width else np.zeros(0)
+    natural = now[:width]
     total = natural.sum()
     asked = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
     if not width or not total or not asked.sum():
         return Fit(domains, natural, steps, natural, natural)
     targets = asked / asked.sum() * total
-    m = first[width:].reshape(width, width) / total
-    w = np.linalg.inv(m + 1e-6 * np.trace(m) * np.eye(width))
-    expected = natural
-    for _ in range(rounds):
-        miss = expected - targets
-        if np.abs(miss).max() <= tolerance * total:
+    m = now[width:].reshape(width, width) / total
+    small = 1e-6 * np.trace(m) * np.eye(width)
+    w = np.linalg.inv(m + small)
+    costs = [float((natural - targets) @ w @ (natural - targets))]
+    while np.abs(now[:width] - targets).max() > tolerance * total and len(steps) < rounds:
+        if len(costs) > STILL and costs[-1] > (1 - MENDED) * costs[-1 - STILL]:
             break
-        steps = np.concatenate([steps, (w @ miss / total)[None]])
-        expected = sums(steps, False)
-    if np.abs(expected - targets).max() > tolerance * total:
-        warnings.warn(f"targets not met after {rounds} rounds: shares {dict(zip(domains, (expected / total).round(4).tolist()))} of all tokens, asked {dict(zip(domains, (targets / total).tolist()))}", stacklevel=2)
-    return Fit(domains, targets, steps, expected, natural)
+        miss = (now[:width] - targets) / total
+        scaled = np.linalg.solve(now[width:].reshape(width, width) / total + small, miss)
+        tried = np.concatenate([np.array(TIMES)[:, None] * (w @ miss), np.array(TRIED)[:, None] * scaled])
+        got = sums(steps, tried)
+        cost = [float((x[:width] - targets) @ w @ (x[:width] - targets)) for x in got]
+        best = int(np.argmin(cost))
+        steps, now = np.concatenate([steps, tried[best][None]]), got[best]
+        costs.append(cost[best])
+    out = Fit(domains, targets, steps, now[:width], natural)
+    if out.miss > tolerance:
+        warnings.warn(f"targets not met after {len(steps)} rounds: shares {dict(zip(domains, (out.expected / total).round(4).tolist()))} of all tokens, asked {dict(zip(domains, (targets / total).tolist()))}", stacklevel=2)
+    return out
 
 
 @dataclass
@@ -234,10 +262,6 @@ def _kept(p: np.ndarray, shares: np.ndarray, price: np.ndarray) -> np.ndarray:
     return np.clip(1 - (p - shares) @ price, 0.0, 1.0)
 
 
-#: Parts of a Newton step that are tried in one pass.
-TRIED = (1.0, 0.5, 0.25, 0.0625)
-
-
 def select(soft: DataFrame, domains: list[str], weights: dict[str, float], tolerance: float = 1e-4, rounds: int = 40) -> Selection:
     """Rates within 0 and 1, nearest to 1, whose tokens are shared among domains as the weights are.
 

@@ -8,7 +8,8 @@ follow-the-regularised-leader updates, and a score is one sparse dot product.
 
 Defined cases: a null text or one without words has no features, so the bias alone
 scores it; no labelled rows gives 0.5 everywhere; equal texts score alike; doubtful
-labels (null) are not learnt; extra columns pass by.
+labels (null, or two of one id) are not learnt; of rows that share a labelled id one is;
+extra columns pass by.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import textkernel as K
+from lakecairn.llm.graph import observed
 
 BITS = 18
 BUCKETS = 1 << BITS
 SCALE = 8.0
 #: Labelled rows to learn from, about (documented bound).
 SAMPLE = 12000
+#: Features (of eight bytes) that the sample has at most, about; long texts make it smaller (documented bound).
+FEATURES = 6_000_000
 
 #: Character classes of shapes: letters by case, digits, other bytes stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -122,10 +126,24 @@ def _unit() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
 
 
+def one_text(docs: DataFrame, drawn: DataFrame, label: str) -> DataFrame:
+    """doc_id, label and text of the drawn ids (doc_id, label); of an id's texts the one with the smallest hash."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.select("doc_id", label, "text")
+
+
+def bounded(table: DataFrame, features: str, row: Column) -> DataFrame:
+    """Rows of a sample with features (a list), fewer by a hash of the row where they have over FEATURES in all; kept in the shared folder."""
+    table, seen = observed(table, n=F.sum(F.size(features)))
+    part = FEATURES / max(1, seen["n"] or 0)
+    return table if part >= 1 else table.filter(F.pmod(F.xxhash64(F.lit("bounded"), row), F.lit(1_000_003)) < part * 1_000_003)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` labelled rows, drawn by a hash of their ids, evenly by class where rows allow.
 
-    The drawn labels are bounded, so they alone are sent to the scans of documents.
+    The drawn labels are bounded, so they alone are sent to the scans of documents; texts are bounded by their features.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("y").alias("y0")).filter("y = y0").drop("y0")
@@ -135,8 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rate = F.lit(0.0)
     for y, c in counts.items():
         rate = F.when(F.col("y") == y, F.lit(min(1.0, sample / 2 / c))).otherwise(rate)
-    drawn = known.filter(_unit() < rate).limit(2 * sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    drawn = known.filter(_unit() < rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                     }
                 )
 
-    table = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
-    table = table.mapInArrow(K.tidy(run), "doc_id long, y int, idx array<int>, val array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    table = one_text(docs, drawn, "y").mapInArrow(K.tidy(run), "doc_id long, y int, idx array<int>, val array<float>")
+    table = bounded(table, "idx", F.col("doc_id")).toArrow().sort_by("doc_id").combine_chunks()
     data = [(np.asarray(i.values), np.asarray(v.values, np.float64), y) for i, v, y in zip(table["idx"], table["val"], table["y"].to_pylist()) if len(i)]
     del table
     model = ftrl(data) if data else Model(np.zeros(BUCKETS), 0.0)

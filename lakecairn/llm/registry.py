@@ -50,8 +50,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out, _ = mixing.mix(_documents(spark, sf_dir), mixing.label_domains(labels), mixing.WEIGHTS)
-    return out.withColumn("copies", mixing.copies(F.col("rate")))
+    out, fit = mixing.mix(_documents(spark, sf_dir), mixing.label_domains(labels), mixing.WEIGHTS)
+    return out.withColumn("copies", mixing.copies(F.col("rate"))).withColumn("miss", F.lit(fit.miss))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,78 @@ def test_copies_have_the_rate_as_mean(spark):
     assert out.count() == 200 and out.filter("rate < 0 or copies < floor(rate) or copies > rate + 1").count() == 0
 
 
+def _least(p, t, weights, rounds=20000):
+    """The least miss that nonnegative rates reach, by plain projected gradient descent with short steps."""
+    total = t.sum()
+    goal = weights / weights.sum() * total
+    m = (p * t[:, None]).T @ p / total
+    w = np.linalg.inv(m + 1e-6 * np.trace(m) * np.eye(p.shape[1]))
+    r = np.ones(len(p))
+    for _ in range(rounds):
+        r = np.maximum(0.0, r - p @ (w @ ((r * t) @ p - goal) / total))
+    return (r * t) @ p, goal, w
+
+
+@pytest.mark.parametrize(
+    "weights, met",
+    [
+        ((0.88, 0.05, 0.06, 0.01), True),
+        ((0.02, 0.02, 0.02, 0.94), True),  # a domain of one hundredth is to be nearly all
+        ((0.6, 0.1, 0.2, 0.1), True),
+        ((0.25, 0.25, 0.25, 0.25), False),  # no document has that little of the first
+        ((0.0, 0.0, 0.0, 1.0), False),  # every document has some of the others
+        ((0.5, 0.0, 0.5, 0.0), False),
+    ],
+)
+def test_hard_zero_and_infeasible_targets(spark, weights, met):
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([8.0, 0.8, 1.0, 0.15], 400)
+    p[:12] = rng.dirichlet([0.2, 0.2, 0.2, 9.0], 12)  # some of the rarest domain; none of them purely
+    p = np.maximum(p, 1e-3)
+    p /= p.sum(1, keepdims=True)
+    t = rng.integers(1, 300, 400)
+    soft = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p))], mixing.POSTERIORS).coalesce(2).cache()
+    names = ["a", "b", "c", "d"]
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        found = mixing.fit(soft, names, dict(zip(names, weights)))
+    assert (found.miss <= 1e-4) == met == (not any("targets not met" in str(x.message) for x in said))
+    if not met:
+        best, goal, w = _least(p, t.astype(float), np.array(weights))
+        cost = lambda x: float((x - goal) @ w @ (x - goal))
+        assert 0 < cost(found.expected) <= 1.05 * cost(best)
+    rates = np.array([r.rate for r in mixing.rates(soft, found).orderBy("doc_id").collect()])
+    assert (rates >= 0).all() and np.allclose((rates * t) @ p, found.expected)
+
+
+def test_a_classifier_by_plain_loops(spark):
+    """Posteriors of a model are the softmax of bias and summed weights, word by word."""
+    rng = np.random.default_rng(3)
+    model = mixing.Classifier(["a", "b"], rng.normal(size=(mixing.quality.BUCKETS, 2)).astype(np.float32), np.array([0.3, -0.2]))
+    for text in ("one two Two TWO three3", "", "a", "é É x-1 " * 5):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        word, form, _ = mixing.quality.hashes(buf, np.array([0, len(buf)]))
+        z = model.bias.copy()
+        for b in {int(x) for x in mixing.quality.buckets(word)}:
+            z += model.weights[b] * mixing.PRESENCE
+        for b in mixing.quality.buckets(form).tolist():
+            z += model.weights[b] * (mixing.quality.SCALE / len(form))
+        want = np.exp(z) / np.exp(z).sum()
+        assert np.allclose(model.posteriors(buf, np.array([0, len(buf)]))[0], want)
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    wide = docs
+    for c in ("row", "rate", "tokens", "posteriors", "domain", "other", "idx", "val", "v", "i"):
+        wide = wide.withColumn(c, F.lit("x"))
+    get = lambda d: sorted((r.doc_id, r.tokens, round(r.rate, 6)) for r in mixing.mix(d, mixing.label_domains(labels.withColumn("y", F.lit(1))), mixing.WEIGHTS)[0].collect())
+    assert get(wide) == get(docs)
+    twice = docs.unionByName(docs)
+    assert len(get(twice)) == 2 * docs.count()
+
+
 def test_targets_out_of_reach_are_reported(spark):
     soft = spark.createDataFrame([(1, 10, [0.6, 0.4]), (2, 30, [0.5, 0.5])], mixing.POSTERIORS)
     with pytest.warns(UserWarning, match="targets not met"):
