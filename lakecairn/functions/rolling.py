@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,24 @@ def roll(data: bytes, window: int = WINDOW, table: list[int] | None = None) -> l
     return out
 
 
+@lru_cache(maxsize=8)
+def _turned(table: tuple[int, ...] | None) -> np.ndarray:
+    """The byte table turned right by 0 to 31 bits, one after the other."""
+    t = np.array(table or byte_table(), np.uint64)
+    k = np.arange(32, dtype=np.uint64)[:, None]
+    return (((t >> k) | (t << (np.uint64(32) - k))) & np.uint64(MASK32)).astype(np.uint32).ravel()
+
+
 def hash_array(data: np.ndarray, window: int = WINDOW, table: list[int] | None = None) -> np.ndarray:
     """roll() of a byte array at once."""
-    low, width = np.uint64(MASK32), np.uint64(32)
-    t = np.array(table or byte_table(), np.uint64)[data]
-    k = (np.arange(len(data)) % 32).astype(np.uint64)
-    running = np.bitwise_xor.accumulate(((t >> k) | (t << (width - k))) & low) if len(t) else t
+    turned = _turned(tuple(table) if table else None)
+    k = np.arange(len(data), dtype=np.int64) & 31
+    t = turned[(k << 8) | data]
+    running = np.bitwise_xor.accumulate(t) if len(t) else t
     x = running.copy()
     x[window:] ^= running[:-window]
-    return ((x << k) | (x >> (width - k))) & low
+    k = k.astype(np.uint32)
+    return ((x << k) | (x >> ((np.uint32(32) - k) & np.uint32(31)))).astype(np.uint64)
 
 
 def _each(df: DataFrame, key: str, data: str, rows, schema: str) -> DataFrame:
@@ -76,6 +86,16 @@ def rolled(df: DataFrame, key: str, data: str, window: int = WINDOW, table: list
     return _each(df, key, data, rows, "hashes array<bigint>")
 
 
+def summary(df: DataFrame, key: str, data: str, window: int = WINDOW, table: list[int] | None = None) -> DataFrame:
+    """key, and the number, greatest and xor of the hashes of every byte string that has a byte; no hash leaves the task."""
+
+    def rows(keys: tuple, blobs: tuple) -> pa.RecordBatch:
+        out = [(k, len(b), int(h.max()), int(np.bitwise_xor.reduce(h))) for k, b in zip(keys, blobs) if len(b) for h in [hash_array(b, window, table)]]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], names=[key, "n", "top", "mixed"])
+
+    return _each(df, key, data, rows, "n bigint, top bigint, mixed bigint")
+
+
 def boundaries(df: DataFrame, key: str, data: str, bits: int = PATTERN_BITS, window: int = WINDOW, table: list[int] | None = None) -> DataFrame:
     """key, pos, h of the bytes whose hash has all the pattern's bits."""
     mask = np.uint64((1 << bits) - 1)

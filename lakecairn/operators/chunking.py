@@ -82,6 +82,14 @@ def blobs(chunked: DataFrame) -> DataFrame:
 
 
 def assemble(indexed: DataFrame, stored: DataFrame) -> DataFrame:
-    """(key, bytes) from an index and a store of chunks."""
+    """(key, bytes) from an index and a store of chunks; each byte string is one row, so at most 2 GB."""
     parts = indexed.join(stored, "cid").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
-    return parts.select("key", F.aggregate(F.col("p.bytes"), F.lit("").cast("binary"), lambda a, b: F.concat(a, b)).alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("parts")
+            for k in range(batch.num_rows):
+                whole = b"".join(lists[k].values.to_pylist())
+                yield pa.record_batch([batch.column("key").slice(k, 1), pa.array([whole], pa.binary())], names=["key", "bytes"])
+
+    return parts.select("key", F.col("p.bytes").alias("parts")).mapInArrow(run, "key bigint, bytes binary")

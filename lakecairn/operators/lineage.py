@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lakecairn-')}"
+    """spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lakecairn-')}"
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:

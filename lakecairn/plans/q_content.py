@@ -70,9 +70,7 @@ h as (select doc_id, pos, b, ((x << k) | (x >> (32 - k))) & 4294967295 as h from
 
 @query(_roll_sql("select doc_id, count(*) as n, max(h)::bigint as top, bit_xor(h)::bigint as mixed from h group by doc_id"))
 def buzhash_roll(spark, d):
-    h = rolling.rolled(table(spark, d, "documents"), "doc_id", "text").filter("size(hashes) > 0")
-    mixed = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-    return h.select("doc_id", F.size("hashes").cast("bigint").alias("n"), F.array_max("hashes").alias("top"), mixed.alias("mixed"))
+    return rolling.summary(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(_roll_sql("select doc_id, pos::bigint as pos, h::bigint as h from h where h & 255 = 255"))

@@ -37,9 +37,10 @@ def gcounter_merge(spark, d):
     return crdt.merge(_counters(spark, d, _A), _counters(spark, d, _B))
 
 
-@query("select event_type as counter, (count(*) filter (event_id % 3 = 0) - count(*) filter (event_id % 3 = 1))::bigint as value from events where event_id % 3 <> 2 group by 1")
+@query("select event_type as counter, (count(*) filter (event_id % 2 = 0) - count(*) filter (event_id % 2 = 1))::bigint as value from events group by 1")
 def pncounter_value(spark, d):
-    return crdt.pn_value(_counters(spark, d, "event_id % 3 = 0"), _counters(spark, d, "event_id % 3 = 1"))
+    """Every event counts: even ones up, odd ones down."""
+    return crdt.pn_value(_counters(spark, d, "event_id % 2 = 0"), _counters(spark, d, "event_id % 2 = 1"))
 
 
 @query(f"""

@@ -67,17 +67,17 @@ def map_mixed_changes(spark, d):
     return maps.apply(orders(spark, d), changes(spark, d), ["o_orderkey"])
 
 
-@query(f"select * from ({_NEW}) where o_orderkey in (3, 7, -5, 11)")
+@query(f"with old as (select {_COLS} from orders), now({_COLS}) as ({_NEW}) select now.*, old.o_orderkey is null as added from now left join old on old.o_orderkey = now.o_orderkey")
 def map_insert_visible(spark, d):
-    now = maps.apply(orders(spark, d), changes(spark, d), ["o_orderkey"])
-    return now.filter(F.col("o_orderkey").isin(3, 7, -5, 11))
+    """The whole map as it is seen after a batch, with which keys are new."""
+    old, now = orders(spark, d), maps.apply(orders(spark, d), changes(spark, d), ["o_orderkey"])
+    return now.join(old.select("o_orderkey", F.lit(False).alias("added")), "o_orderkey", "left").withColumn("added", F.coalesce("added", F.lit(True)))
 
 
 @query("select user_id as k, arg_max(event_type, event_id) as v, max(event_id) as seq from events group by user_id")
 def batch_lww(spark, d):
-    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("k"), F.col("event_type").alias("v"), F.lit(maps.INSERT).alias("op"))
-    last = rows.groupBy("k").agg(F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq"))
-    return last.select("k", "v", "seq")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("k"), F.lit(maps.INSERT).alias("op"), F.col("event_type").alias("v"))
+    return maps.collapse(rows, ["k"]).select("k", "v", "seq")
 
 
 @query("""
