@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -75,6 +76,26 @@ def decode_base58(col: pa.Array) -> pa.Array:
     return pa.array([None if x is None else _try_unbase58(x) for x in col.to_pylist()], pa.binary())
 
 
+def base32hex(c: Column) -> Column:
+    """Multibase base32hex in lower case, without padding: "v" and the digits. Text of it sorts as the bytes do."""
+    digits = F.hex(c.cast("binary"))
+    n = F.length(digits)
+    whole = F.rpad(digits, F.ceil(n / 10).cast("int") * 10, "0")
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(n / 10).cast("int") - 1), lambda i: F.lpad(F.conv(whole.substr(i * 10 + 1, F.lit(10)), 16, 32), 8, "0"))
+    text = F.when(n == 0, F.lit("")).otherwise(F.substring(F.lower(F.array_join(groups, "")), F.lit(1), F.ceil(n * 4 / 5).cast("int")))
+    return F.concat(F.lit("v"), text)
+
+
+def id_ok(c: Column, size: int = CID_SIZE) -> Column:
+    """Whether bytes have the size of an id."""
+    return F.octet_length(c) == size
+
+
+def random_id(size: int = 8) -> bytes:
+    """A replica id that nobody else has."""
+    return secrets.token_bytes(size)
+
+
 def int_id(c: Column, size: int) -> Column:
     """A number as an id: four big-endian bytes, filled with zeros on the right."""
     return F.unhex(F.rpad(F.lpad(F.hex(c.cast("bigint")), 8, "0"), 2 * size, "0"))

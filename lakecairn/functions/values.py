@@ -87,6 +87,62 @@ def encode_columns(*cols: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("s"), escape(c.cast("string"))), F.lit("n")) for c in cols])
 
 
+def unescape(c: Column) -> Column:
+    return F.regexp_replace(c, r"\\(.)", "$1")
+
+
+def decode(c: Column) -> Column:
+    """The value that a canonical text stands for: the reverse of ``encode``."""
+
+    def scalar(x: Column) -> Column:
+        kind, rest = F.substring(x, 1, 1), x.substr(F.lit(2), F.length(x))
+        return F.when(kind == "u", u32(F.when(kind == "u", rest.try_cast("bigint")), SCALAR_TYPE)).when(kind == "s", text(unescape(rest), SCALAR_TYPE)).when(kind == "a", addr(F.unhex(F.when(kind == "a", rest)), SCALAR_TYPE))
+
+    parts = F.transform(F.regexp_extract_all(c.substr(F.lit(2), F.length(c)), F.lit(r"((?:[^\\,]|\\.)+)")), scalar)
+    one = scalar(c)
+    return F.when(F.substring(c, 1, 1) == "v", vec(parts)).otherwise(F.when(one.isNotNull(), F.struct(one["tag"].alias("tag"), one["addr"].alias("addr"), one["u32"].alias("u32"), one["str"].alias("str"), F.lit(None).alias("vec")).cast(VALUE_TYPE)))
+
+
+def order_key(value: Column) -> Column:
+    """A text that sorts as its scalar does: by kind first, then numbers by size, strings and addresses by their bytes."""
+    return F.when(value["tag"] == U32, F.concat(F.lit("1"), F.lpad(value["u32"].cast("string"), 10, "0"))).when(value["tag"] == STR, F.concat(F.lit("2"), value["str"])).otherwise(F.concat(F.lit("0"), F.lower(F.hex(value["addr"]))))
+
+
+def key_text(key: int | str | bytes) -> str:
+    """order_key of one key on the driver."""
+    if isinstance(key, bytes):
+        return "0" + key.hex()
+    if isinstance(key, str):
+        return "2" + key
+    if not 0 <= key <= MAX_U32:
+        raise InvalidInput(f"not an unsigned 32-bit number: {key}")
+    return f"1{key:010d}"
+
+
+def key_of(text_: str) -> int | str | bytes:
+    """The key that an order_key stands for."""
+    rest = text_[1:]
+    return bytes.fromhex(rest) if text_[0] == "0" else int(rest) if text_[0] == "1" else rest
+
+
+def push(path: Column, segment: Column) -> Column:
+    return F.concat(path, F.array(segment))
+
+
+def pop(path: Column) -> Column:
+    """A path without its last segment; the empty path stays."""
+    return F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+
+
+def last_segment(path: Column) -> Column:
+    return F.try_element_at(path, F.lit(-1))
+
+
+def upwards(path: Column) -> Column:
+    """Each segment with its depth, from the last one to the first: the way from a leaf to the root."""
+    return F.reverse(F.transform(path, lambda x, i: F.struct(i.cast("bigint").alias("depth"), x.alias("segment"))))
+
+
 def parse_scalar(c: Column) -> Column:
     """A scalar from what a user typed: digits are numbers, ``u32:``, ``str:`` and ``addr:`` (64 hex digits) say the type."""
     kind = F.lower(F.regexp_extract(c, r"^(?i)(u32|str|addr):", 1))

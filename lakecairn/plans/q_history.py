@@ -45,9 +45,8 @@ def commit_history(spark, d):
 
 @query(f"with l as ({_LOG}) select (select count(*) from l) as n_commits, count(*) as n_written, ((select count(*) from l) - count(*)) as n_noop from ({_CHANGED.format(cols='user_id')})")
 def commit_noop(spark, d):
-    before = F.lag("content").over(history.Window.partitionBy("user_id").orderBy(*_ORDER))
-    rows = log(spark, d).select(F.coalesce(before != F.col("content"), F.lit(True)).alias("written"))
-    return rows.agg(F.count("*").alias("n_commits"), F.count_if("written").alias("n_written"), F.count_if(~F.col("written")).alias("n_noop"))
+    rows = history.written(log(spark, d), "user_id", _ORDER, "content")
+    return rows.agg(F.count("*").alias("n_commits"), F.count_if("_written").alias("n_written"), F.count_if(~F.col("_written")).alias("n_noop"))
 
 
 @query(f"with l as ({_LOG}) select user_id, event_id, content as tip, lag(content) over (partition by user_id order by ts, event_id) is distinct from content as dirty from l")
@@ -130,3 +129,58 @@ def path_insert(spark, d):
 with e as ({_NESTED}) select map, sha256(string_agg(replace(replace(replace(key, '\\', '\\\\'), '=', '\\='), ',', '\\,') || '=' || child, '|' order by key)) as addr from e group by map""")
 def path_address(spark, d):
     return paths.address(nested(spark, d))
+
+
+@query(f"with l as ({_LOG}) select event_id, addr, lag(addr) over (order by ts, event_id) as prev, coalesce(lag(content) over (order by ts, event_id) <> content, true) as dirty from l")
+def one_long_log(spark, d):
+    """All events as one log, which goes over several tasks."""
+    rows = log(spark, d).withColumn("log", F.lit("all"))
+    linked = history.link(rows, "log", _ORDER, hot=True)
+    return history.tips(linked, ["log"], _ORDER, "content", hot=True).select("event_id", "addr", "prev", "dirty")
+
+
+@query(
+    _REPLAY.replace("partition by user_id ", "")
+    + """select event_id, action, staged_now as staged, "commit", status from (select *, case when action = 'stage' then addr end as staged_now,
+    case when action = 'stage' and "commit" is null then 'init_staged' when action = 'stage' then 'staged' when "commit" is null then 'init' else 'clean' end as status from c)"""
+)
+def one_long_workspace(spark, d):
+    """All events as the operations on one workspace, which go over several tasks."""
+    ops = _ops(spark, d).withColumn("log", F.lit("all"))
+    return history.replay(ops, "log", _ORDER, hot=True).select("event_id", "action", "staged", "commit", "status")
+
+
+@query(f"""
+with e as ({_NESTED}), asked as (select c_custkey as path_id, r_name as s0, case when c_custkey % 4 = 0 then '?' else n_name end as s1, c_name as s2, c_custkey % 3 = 0 as deeper
+    from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select path_id, case when deeper and s1 <> '?' then 'WrongType' end as error from asked""")
+def path_type_check(spark, d):
+    """Every third path goes on below a customer, which is no map."""
+    r, n, c = (table(spark, d, t) for t in ("region", "nation", "customer"))
+    p = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    second = F.when(F.col("c_custkey") % 4 == 0, F.lit("?")).otherwise(F.col("n_name"))
+    path = F.concat(F.array("r_name", second, "c_name"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("below"))).otherwise(F.array().cast("array<string>")))
+    asked = p.select(F.col("c_custkey").alias("path_id"), F.lit("").alias("root"), path.alias("path"))
+    found = paths.resolve(nested(spark, d), asked, 4)
+    return found.select("path_id", paths.wrong_type(4, lambda child: child.startswith("c")).alias("error"))
+
+
+_ADDR = r"sha256(string_agg(replace(replace(replace(key, '\', '\\'), '=', '\='), ',', '\,') || '=' || child, '|' order by key))"
+
+
+@query(f"""
+with e as ({_NESTED}), place as (select 'r' || r_regionkey as r, r_name, 'n' || n_nationkey as n, n_name from region join nation on n_regionkey = r_regionkey where n_nationkey = 3),
+low as (select key, child from e, place where map = n union all select 'NEW', '7'),
+low_at as (select {_ADDR} as a from low),
+mid as (select key, case when key = n_name then a else child end as child from e, place, low_at where map = r),
+mid_at as (select {_ADDR} as a from mid),
+top as (select key, case when key = r_name then a else child end as child from e, place, mid_at where map = ''),
+top_at as (select {_ADDR} as a from top)
+select a as map, key, child from low, low_at union all select a, key, child from mid, mid_at union all select a, key, child from top, top_at""")
+def path_update(spark, d):
+    """A value put under a nation: its map and the maps above it get new addresses, and the old ones stay."""
+    entries = nested(spark, d)
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    where = n.filter("n_nationkey = 3").join(r, n["n_regionkey"] == r["r_regionkey"]).select("r_name", "n_name").first()
+    new, _ = paths.update(entries, [*where, "NEW"], "7")
+    return new
