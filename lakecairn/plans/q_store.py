@@ -194,6 +194,15 @@ def store_exists(spark, d):
     return store.exists(docs.select(hashing.content_id(F.col("text")).alias("cid")).distinct())
 
 
+@query("with b as (select doc_id, source, sha256(text) as cid from documents) select doc_id, cid from b where cid in (select cid from b where source = 'src0')")
+def exists_semi(spark, d):
+    """Which of all documents a store on disk has."""
+    store = ContentStore(spark, f"{_folder(spark)}/blobs")
+    docs = table(spark, d, "documents")
+    store.put(docs.filter("source = 'src0'"), "text")
+    return store.exists(docs.select("doc_id", hashing.content_id(F.col("text")).alias("cid"))).select("doc_id", "cid")
+
+
 @query("select count(*) as n, count(distinct cid) as n_cids, sum(octet_length(encode(html)))::bigint as n_bytes from (select html, sha256(html) as cid from pages)")
 def store_blake2b(spark, d):
     """Pages under ids of another hash."""

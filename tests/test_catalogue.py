@@ -21,6 +21,5 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entry_points(spark):
     queries = __spark_entry__.queries()
     assert set(catalogue.QUERIES) <= set(queries) and set(__spark_entry__.oracle_sql()) <= set(queries)
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"cdc_chunks"}
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
     assert __spark_entry__.entry(spark).count() > 0
-    assert queries["cdc_chunks"](spark, SF).count() > 0

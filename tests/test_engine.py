@@ -7,11 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakecairn.__main__ import main
-from lakecairn.errors import CommitEmptyStage, InUse, NoChangesToWrite, NotFound
+from lakecairn.errors import CannotReplaceRootMap, CommitEmptyStage, DanglingAddress, DetachedHead, InUse, NoChangesToWrite, NotFound, NotModified, UndiffableType, UnmergeableType, WrongType
+from lakecairn.functions.values import key_text
+from lakecairn.plans.containers import KINDS, Container, ContainerRepo, describe
 from lakecairn.plans.engine import Engine
 from lakecairn.config import Config
 from lakecairn.functions import head
-from lakecairn.sources.store import ContentStore, LargeFileStore, MetaStore, RecordStore, import_files
+from lakecairn.functions.hashing import base32hex
+from lakecairn.sources.store import CachedStore, ContentStore, LargeFileStore, MemoryStore, MetaStore, RecordStore, import_files
 from lakecairn.streaming import ingest
 
 
@@ -86,6 +89,171 @@ def test_two_writers(spark, tmp_path):
         Engine.open(spark, f"{tmp_path}/nowhere")
 
 
+def test_a_commit_that_breaks_off_and_a_clock_that_steps_back(spark, tmp_path, monkeypatch):
+    times = iter([9, 8, 7, 6])
+    engine = Engine.init(spark, f"{tmp_path}/repo", clock=lambda: next(times))
+    repo = engine.repo("r")
+    repo.insert("k", "first")
+    repo.stage()
+    first = repo.commit()
+    repo.insert("k", "second")
+    repo.stage()
+    second = repo.commit("later, by an earlier clock")
+    assert engine.repo("r").tip == second != first
+    repo.insert("k", "third")
+    third = repo.stage()
+
+    def dies(*a, **kw):
+        raise RuntimeError("no power")
+
+    with monkeypatch.context() as m:
+        m.setattr(engine.meta, "set_head", dies)
+        with pytest.raises(RuntimeError):
+            repo.commit()
+    again = Engine.open(spark, f"{tmp_path}/repo", clock=lambda: 1).repo("r")
+    assert again.tip == second and engine.log().count() == 3 and [r.tip for r in again.history().collect()] == [second, first]
+    assert again.staged == third and again.commit() == third
+    assert [r.tip for r in again.history().collect()] == [third, second, first]
+    assert engine.repo("other").tip is None and [r.message for r in again.history().collect()] == [None, "later, by an earlier clock", None]
+
+
+def test_heads_are_swapped_once(spark, tmp_path):
+    meta = MetaStore(spark, f"{tmp_path}/meta", lease=600)
+    meta.set_head("local", "a", "1", expected=None)
+    with pytest.raises(InUse):
+        meta.set_head("local", "a", "2", expected=None)
+    name = spark.range(1).select(base32hex(F.lit("local/a"))).first()[0]
+    assert meta.claims.take(f"swap/{name}/2.0")  # a writer that dies before it writes
+    with pytest.raises(InUse):
+        meta.set_head("local", "a", "2", expected="1")
+    late = MetaStore(spark, f"{tmp_path}/meta", lease=-1)
+    late.set_head("local", "a", "2", expected="1")
+    assert meta.head("local", "a") == "2" and not meta.claims.take(f"swap/{name}/2.1")
+    assert meta.claims.take(f"seq/{meta.next_seq()}")  # a number that someone else has just taken
+    meta.put("k", b"v")
+    assert meta.get("k") == b"v" and meta.log().select("seq").distinct().count() == meta.log().count()
+
+
+def test_point_reads_open_one_node_a_level(spark, tmp_path, monkeypatch):
+    engine = Engine.init(spark, f"{tmp_path}/repo")
+    repo = engine.repo("r")
+    repo.change(spark.range(600).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("k"), F.lit("insert").alias("op"), F.col("id").cast("string").alias("v")))
+    repo.stage()
+    repo.commit()
+    opened = []
+    node = engine.node
+    monkeypatch.setattr(engine, "node", lambda addr: opened.append(addr) or node(addr))
+    top = node(repo.root)
+    assert repo.get("0123") == "123" and len(opened) == top["level"] + 1 >= 3
+    assert repo.get("x") is None and repo.get("") is None
+    assert engine.leaves(repo.root, "0100", "0110").count() < engine.leaves(repo.root).count() / 4
+    files = engine.nodes().count()
+    repo.insert("0300", "new")
+    repo.stage()
+    assert engine.nodes().count() - files <= 2 * (top["level"] + 2)  # only what changed is written
+    with pytest.raises(DanglingAddress):
+        engine.leaves("00" * 32)
+
+
+def test_status_and_detached_versions(spark, tmp_path):
+    engine = Engine.init(spark, f"{tmp_path}/repo")
+    repo = engine.repo("r")
+    assert repo.status() == {"status": "init", "commit": None, "staged": None, "content": None}
+    repo.insert("k", "1")
+    one = repo.stage()
+    assert repo.status() == {"status": "init_staged", "commit": None, "staged": one, "content": one}
+    repo.commit()
+    repo.insert("k", "2")
+    two = repo.stage()
+    assert repo.status()["status"] == "staged" and engine.repo("r").staged == two
+    repo.commit()
+    assert repo.status()["status"] == "clean"
+    repo.checkout(one)
+    assert repo.get("k") == "1" and repo.status()["status"] == "detached"
+    repo.insert("k", "3")
+    for act in (repo.stage, repo.commit):
+        with pytest.raises(DetachedHead):
+            act()
+    repo.checkout(None)
+    repo.clear()
+    assert repo.get("k") == "2"
+
+
+def test_bytes_under_a_path(spark, tmp_path):
+    engine = Engine.init(spark, f"{tmp_path}/repo")
+    repo = engine.repo("r")
+    data = bytes(range(256)) * 40
+    repo.write_bytes("docs/a", data, (256, 512, 1024))
+    repo.insert("plain", "x")
+    repo.stage()
+    repo.commit()
+    again = engine.repo("r")
+    assert again.read_bytes("docs/a") == data and again.read_bytes("docs/b") is None
+    with pytest.raises(WrongType):
+        again.read_bytes("plain")
+    with pytest.raises(CannotReplaceRootMap):
+        repo.write_bytes("", b"")
+
+
+def test_containers(spark, tmp_path):
+    engine = Engine.init(spark, f"{tmp_path}/repo")
+    rows = lambda *xs: spark.createDataFrame(list(xs), "rid string, n long")
+    one = Container(engine, "g-counter")
+    assert one.dirty and one.value() == 0 and describe(one.kind) == {"name": "g-counter", "params": []}
+    one.add(rows(("a", 1)))
+    two = Container(engine, "g-counter")
+    two.add(rows(("a", 1), ("b", 2)))
+    cid = two.save()
+    assert not two.dirty and two.save() == cid and Container(engine, "g-counter", cid).value() == 3
+    one.merge(cid)
+    one.merge(cid)
+    assert one.value() == 3 and one.diff(cid).isEmpty() and one.save() == cid  # equal content, equal id
+    assert two.get("b") == "2" and two.save_with_cids()[1][-1] == cid
+    with pytest.raises(WrongType):
+        Container(engine, "set", cid)
+    with pytest.raises(DanglingAddress):
+        Container(engine, "set", "00" * 32)
+    words = Container(engine, "text")
+    assert words.value() == ""
+    words.add(spark.createDataFrame([("foo",)], "value string"))
+    foo = words.save()
+    with pytest.raises(UnmergeableType):
+        words.merge(foo)
+    with pytest.raises(UndiffableType):
+        words.diff(foo)
+    m = Container(engine, "map")
+    keys = [10, 9, "9", "", b"\x01" * 32, 4294967295]
+    m.add(spark.createDataFrame([(key_text(k), "insert", str(i)) for i, k in enumerate(keys)], "k string, op string, v string"))
+    m.save()
+    assert m.keys() == [b"\x01" * 32, 9, 10, 4294967295, "", "9"] and m.get(10) == "0" and m.get("9") == "2" and m.get(8) is None
+    repo = ContainerRepo(engine, "title", "text")
+    for t in ("foo", "bar", "foo"):
+        repo.add(spark.createDataFrame([(t,)], "value string"))
+        repo.commit()
+    assert ContainerRepo(engine, "title", "text").value() == "foo" and repo.history().count() == 3
+    with pytest.raises(NotModified):
+        repo.stage()
+    assert repo.commit() == repo.tip and repo.history().count() == 3
+    with pytest.raises(WrongType):
+        ContainerRepo(engine, "title", "set")
+    with pytest.raises(NotFound):
+        repo.merge_replica("nobody")
+    assert set(KINDS) >= {"g-counter", "pn-counter", "set", "list", "text", "map", "max-register"}
+
+
+def test_stores_in_memory_and_with_a_cache(spark, tmp_path):
+    store = MemoryStore(spark)
+    df = spark.createDataFrame([(bytearray(b"foo"),), (bytearray(b"bar"),), (bytearray(b"foo"),)], "bytes binary")
+    assert store.put(df).count() == 2 and store.put(df).count() == 2 and store.frame().count() == 2
+    cached = CachedStore(ContentStore(spark, f"{tmp_path}/blobs"), most=6)
+    a, b = cached.put_one(b"aaa"), cached.put_one(b"bbb")
+    assert cached.get(a) == b"aaa" and cached.hits == 1 and cached.put_one(b"aaa") == a
+    c = cached.put_one(b"ccc")
+    assert cached.size == 6 and cached.get(b) == b"bbb" and cached.get(c) == b"ccc" and cached.hits == 2
+    with pytest.raises(NotFound):
+        cached.get("00" * 32)
+
+
 def test_ranges_on_a_version(spark, tmp_path):
     repo = Engine.init(spark, f"{tmp_path}/repo").repo("r")
     repo.change(spark.range(300).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("k"), F.lit("insert").alias("op"), F.col("id").cast("string").alias("v")))

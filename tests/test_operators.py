@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakecairn.errors import CannotReplaceRootMap, DuplicateKey, InvalidInput, UndiffableType, UnmergeableType
+from lakecairn.errors import CannotReplaceRootMap, DanglingAddress, DuplicateKey, InvalidInput, UndiffableType, UnmergeableType, WrongType
 from lakecairn.operators import chunking, crdt, history, maps, paths, sets, tree
 from lakecairn.operators.listing import listing
 
@@ -188,6 +188,41 @@ def test_workspace_replay_equals_a_state_machine(spark, actions):
     assert [(r.status, r.staged, r["commit"], r.error) for r in got] == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_logs_over_ranges_equal_one_task(spark, seed):
+    """Logs that go over several ranges, and ranges that hold several logs."""
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("aaaaab"), i, rnd.choice(["stage", "stage", "commit"]), rnd.choice(["x", "y", None])) for i in range(300)] + [("c", 1, "commit", "x"), ("d", 1, "stage", None)]
+    ops = spark.createDataFrame(rows, "ws string, i int, action string, addr string").repartition(5)
+    both = lambda f: [sorted(map(str, f(hot).collect())) for hot in (False, True)]
+    for f in (
+        lambda hot: history.link(ops, "ws", ["i"], hot=hot),
+        lambda hot: history.changed(ops, "ws", ["i"], "addr", hot=hot),
+        lambda hot: history.tips(ops, ["ws"], ["i"], "addr", hot=hot),
+        lambda hot: history.replay(ops, "ws", ["i"], hot=hot),
+    ):
+        one, many = both(f)
+        assert one == many and len(one) > 50
+
+
+def test_new_versions_along_a_path(spark):
+    entries = spark.createDataFrame([("", "a", "m1"), ("", "z", "v0"), ("m1", "b", "m2"), ("m1", "y", "v1"), ("m2", "c", "v")], "map string, key string, child string")
+    new, root_ = paths.update(entries, ["a", "b", "c"], "w")
+    walk = lambda at, *keys: walk({(r.map, r.key): r.child for r in new.collect()}[at, keys[0]], *keys[1:]) if keys else at
+    assert walk(root_, "a", "b", "c") == "w" and walk(root_, "z") == "v0" and walk(root_, "a", "y") == "v1"
+    again, same = paths.update(entries, ["a", "b", "c"], "w")
+    assert same == root_ != paths.update(entries, ["a", "b", "c"], "v")[1]
+    made, _ = paths.update(entries, ["new", "k"], "1")
+    assert made.count() == 4  # the new map, and the root's three entries
+    asked = spark.createDataFrame([(1, "", ["z", "b"])], "path_id int, root string, path array<string>")
+    value = lambda c: c.startswith("v")
+    with pytest.raises(WrongType):
+        paths.require_maps(paths.resolve(entries, asked, 2), 2, value)
+    with pytest.raises(DanglingAddress):
+        paths.require_children(entries.filter("map <> 'm2'"), lambda c: c.startswith("m"))
+    assert paths.require_children(entries, lambda c: c.startswith("m")) is entries
+
+
 def test_paths(spark):
     entries = spark.createDataFrame([("", "a", "m1"), ("m1", "b", "m2"), ("m2", "c", "v")], "map string, key string, child string")
     asked = spark.createDataFrame([(1, "", ["a", "b", "c"]), (2, "", ["a", "x", "c"]), (3, "", [])], "path_id int, root string, path array<string>")
