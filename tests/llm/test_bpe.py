@@ -62,3 +62,14 @@ def test_odd_rows(spark, lib):
     for r in out:
         assert r.ids == lib.encode(rows[r.doc_id], add_special_tokens=False).ids
     assert bpe.digests(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    wide = docs
+    for c in ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"):
+        wide = wide.withColumn(c, F.lit("x"))
+    get = lambda d: sorted(tuple(map(str, r)) for r in bpe.digests(d, PATH).collect())
+    assert get(wide) == get(docs)

@@ -13,6 +13,7 @@ from lakecairn.llm import registry, rules
 from lakecairn.llm import textkernel as K
 from tests.conftest import SF
 from tests.llm.helpers import DOCS, odd_docs
+from tests.oracle import connect, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +84,25 @@ def test_ledger_policies_and_ablations(spark):
     assert rules.POLICIES["web", 1].mask == 0b10111
     assert led.filter(F.col("failed") >= 1 << len(rules.RULES)).count() == 0
     assert np.all([led.filter(r.fails).count() == led.filter(F.col("failed").bitwiseAND(F.lit(1 << i)) != 0).count() for i, r in enumerate(rules.RULES)])
+
+
+def test_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    wide = docs
+    for c in ("failed", "kept", "base_failed", "bits", "n", *rules.FIELDS):
+        wide = wide.withColumn(c, F.lit("x"))
+    get = lambda d: sorted(map(tuple, rules.verdicts(d, rules.POLICIES["web", 2]).collect()))
+    assert get(wide) == get(docs)
+
+
+def test_ablations_and_versions_equal_their_sql(spark):
+    """What each rule does alone, and what each version of a policy keeps, from the ledger of all documents."""
+    bits = registry.ORACLES["op5_quality_rules"].rsplit("select doc_id, n_words", 1)[0]
+    names = ", ".join(f"({1 << i}::bigint, '{r.name}')" for i, r in enumerate(rules.RULES))
+    sql = f"""{bits} select name as rule, bit, count(*) filter (failed & bit <> 0) as n_failed, count(*) filter (failed = bit) as n_failed_alone,
+        count(*) filter (failed & ~bit = 0) as n_kept_without, count(*) filter (failed = 0) as n_kept from bits, (values {names}) r(bit, name) group by name, bit"""
+    big, con = SF.replace("sf0.001", "sf0.01"), connect(SF.replace("sf0.001", "sf0.01"))
+    led = rules.ledger(rules.measure(spark.read.parquet(f"{big}/documents.parquet"))).cache()
+    assert same(rules.ablations(led, rules.POLICIES["web", 2]), con, sql) == len(rules.RULES)
+    for policy in rules.POLICIES.values():
+        assert same(led.filter(rules.passes(policy)).agg(F.count("*").alias("n")), con, f"{bits} select count(*) as n from bits where failed & {policy.mask} = 0") == 1
