@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecairn.llm import textkernel as K
-from lakecairn.llm.graph import counted, forget, observed, unique_rows
+from lakecairn.llm.graph import observed, unique_rows
 
 LENGTH, Q = 100, 32
 #: Window starts whose anchors are found at once; bytes of context refined at once.
@@ -436,11 +436,16 @@ def _refine(held_most: int = BYTES_HELD):
 
 
 def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of the windows that equal the one before them; rows come in order of window, gram, document and start."""
+    """Intervals as they are, and those of the windows that equal the one before them; rows come in order of window, gram, document and start."""
     w0 = g0 = None
     for batch in batches:
-        if not batch.num_rows:
+        open_ = batch.column("window").is_valid().to_numpy(zero_copy_only=False)
+        if not open_.all():
+            rows = batch.filter(pa.array(~open_))
+            yield pa.record_batch({c: rows.column(c) for c in ("doc_id", "start", "stop")})
+        if not open_.any():
             continue
+        batch = batch.filter(pa.array(open_))
         w, g, doc, start = (batch.column(c).to_numpy() for c in ("window", "gram", "doc_id", "start"))
         late = np.concatenate([[w[0] == w0 and g[0] == g0], (w[1:] == w[:-1]) & (g[1:] == g[:-1])])
         w0, g0 = w[-1], g[-1]
@@ -459,13 +464,10 @@ def cuts(docs: DataFrame, anchors_held: int = ANCHORS_HELD, bytes_held: int = BY
     grams = found.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     both = docs.join(grams, "doc_id", "left").select("doc_id", "text", "grams")
     parts = both.mapInArrow(K.tidy(_stretches(known)), STRETCH).repartition("key").sortWithinPartitions("gram")
-    parts, n_open = counted(parts.mapInArrow(K.tidy(_refine(bytes_held)), CUT), F.col("window").isNotNull())
-    forget(docs.sparkSession)
-    out = parts.filter("window is null").select("doc_id", "start", "stop")
-    if n_open:
-        order = ("window", "gram", "doc_id", "start")
-        dealt = parts.filter("window is not null").select(*order).repartition("window").sortWithinPartitions(*order)
-        out = out.unionByName(dealt.mapInArrow(K.tidy(_late), "doc_id long, start long, stop long"))
+    # Intervals go anywhere, windows to their own kind. All is one query, so that the texts are dealt out once for it and for the cutting.
+    order = ("window", "gram", "doc_id", "start")
+    parts = parts.mapInArrow(K.tidy(_refine(bytes_held)), CUT).withColumn("key", F.coalesce("window", F.xxhash64("doc_id")))
+    out = parts.repartition("key").drop("key").sortWithinPartitions(*order).mapInArrow(K.tidy(_late), "doc_id long, start long, stop long")
     return out.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
