@@ -17,8 +17,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of input from which a task gives memory back when it ends: below that it costs more than it frees.
-TIDY_BYTES = 4 << 20
 #: Bytes of text handled at once, unless one document is longer. Just under a power of two, as tables of powers are.
 MAX_BYTES = (1 << 20) - (1 << 12)
 
@@ -38,17 +36,9 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f over batches, giving memory back when it ends: workers live on from stage to stage."""
 
     def run(batches: Iterator) -> Iterator:
-        taken = 0
-
-        def counted() -> Iterator:
-            nonlocal taken
-            for batch in batches:
-                taken += batch.nbytes
-                yield batch
-
-        yield from f(counted())
-        if taken > TIDY_BYTES:
-            release()
+        yield from f(batches)
+        release()
+        gc.freeze()  # what is left are modules, which the next task's end need not go through again
 
     return run
 
