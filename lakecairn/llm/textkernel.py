@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once, unless one document is longer. Just under a power of two, as tables of powers are.
-MAX_BYTES = (1 << 20) - (1 << 12)
+MAX_BYTES = (1 << 19) - (1 << 12)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -76,7 +76,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(20, int(n).bit_length()))
+    return _powers(max(19, int(n).bit_length()))
 
 
 def slices(col: pa.Array, max_bytes: int = MAX_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
