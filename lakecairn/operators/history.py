@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakecairn.operators.ranges import with_before, with_last
+from lakecairn.operators.ranges import is_hot, with_before, with_last
 
 
 def link(log: DataFrame, by: str, order: list[str], addr: str = "addr", name: str = "prev", hot: bool | None = None) -> DataFrame:
@@ -42,6 +42,7 @@ def replay(ops: DataFrame, by: str, order: list[str], action: str = "action", ad
 
     A commit takes what was staged since the commit before; without that it fails and changes nothing.
     """
+    hot = is_hot(ops, [by]) if hot is None else hot
     staged = F.col(action) == "stage"
     rows = with_before(ops, [by], order, {"_before": action}, hot)
     # Only a stage right before makes a commit valid: any commit, good or failed, leaves nothing staged.

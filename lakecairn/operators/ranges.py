@@ -62,7 +62,8 @@ def with_next(df: DataFrame, key: str, out: str, partitions: int | None = None)
 HOT_LOG = 1_000_000
 
 
-def _hot(df: DataFrame, by: list[str]) -> bool:
+def is_hot(df: DataFrame, by: list[str]) -> bool:
+    """Whether a log is too long for one task."""
     return not df.groupBy(*by).count().filter(F.col("count") > HOT_LOG).isEmpty()
 
 
@@ -75,7 +76,7 @@ def with_before(df: DataFrame, by: list[str], order: list[str], cols: dict[str,
 
     A log that is too long for one task goes over ranges of rows, each of which takes on the last row before it.
     """
-    if not (_hot(df, by) if hot is None else hot):
+    if not (is_hot(df, by) if hot is None else hot):
         w = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(name) for name, c in cols.items()])
     rows = ranged(df, *by, *order)
@@ -93,7 +94,7 @@ def with_before(df: DataFrame, by: list[str], order: list[str], cols: dict[str,
 def with_last(df: DataFrame, by: list[str], order: list[str], col: str, out: str, hot: bool | None = None) -> DataFrame:
     """df with the last value of col that is not null, up to and with each row of its log (by), in order."""
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if not (_hot(df, by) if hot is None else hot):
+    if not (is_hot(df, by) if hot is None else hot):
         return df.withColumn(out, F.last(col, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)))
     rows = ranged(df, *by, *order)
     key, place = _named(by), F.struct(*by, *order)
