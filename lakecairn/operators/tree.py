@@ -17,7 +17,6 @@ from lakecairn.operators.ranges import ranged, running, with_next
 
 #: Bits of an item's digest that must be set for it to end a block: 2**BITS items a block on average.
 BITS = 4
-MAX_LEVELS = 40
 
 
 def ends_block(key: Column, value: Column, bits: int = BITS) -> Column:
@@ -66,18 +65,19 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def _levels(leaves: DataFrame, bits: int) -> DataFrame:
-    """Leaves and the levels above them, up to one node."""
+    """Leaves and the levels above them, up to one node.
+
+    A level that does not shrink (two nodes, the first of which ends its block) is followed by the next
+    like any other: a node's digest changes with its level, so nodes come together in the end.
+    """
+    if bits < 1:
+        raise ValueError("bits must be at least 1: else every item ends its block, and no level shrinks")
     level, nodes, out = 0, leaves, leaves
     count = nodes.count()
     while count > 1:
         level += 1
-        above = nodes.select(F.col("first_key").alias("k"), F.col("addr").alias("v"))
-        nodes = cut(blocks(above, level, bits))
-        fewer = nodes.count()
-        if fewer >= count or level >= MAX_LEVELS:  # a level that does not shrink: its few nodes get one parent
-            one = above.groupBy(F.lit(0).cast("bigint").alias("block")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("items"))
-            nodes, fewer = cut(_nodes(one, level)), 1
-        out, count = out.unionByName(nodes), fewer
+        nodes = cut(blocks(nodes.select(F.col("first_key").alias("k"), F.col("addr").alias("v")), level, bits))
+        out, count = out.unionByName(nodes), nodes.count()
     return out
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lakecairn.errors import CannotReplaceRootMap, DanglingAddress, DuplicateKey, InvalidInput, UndiffableType, UnmergeableType, WrongType
 from lakecairn.operators import chunking, crdt, history, maps, paths, sets, tree
 from lakecairn.operators.listing import listing
+from lakecairn.plans import q_tree
+from lakecairn.plans.catalogue import ORACLES
+from tests.oracle import connect, same
 
 SHELVES = [f"shelf{i}/{box}" for i in (1, 2, 10) for box in ("", "pens", "pens/red", "pens.old", "ink")]
 
@@ -79,6 +82,19 @@ def test_tree_round_trip(spark, n):
     assert root(tree.build(shuffled)) == root(nodes)
 
 
+@pytest.mark.parametrize(("name", "level"), [("Customer 25", 1), ("Customer 36", 2), ("Customer 175333", 5)])
+def test_levels_that_do_not_shrink(spark, tmp_path, name, level):
+    """The first of two nodes ends its block on all levels below this one; roots by build and by update are the SQL's."""
+    spark.createDataFrame([(1, name), (2, "x")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = connect(str(tmp_path))
+    assert same(q_tree.tree_root(spark, str(tmp_path)), con, ORACLES["tree_root"]) == 1
+    k = "000000000001"
+    nodes = tree.update(tree.build(items(spark, {k: "before", "000000000002": "x"})), spark.createDataFrame([(k, "insert", name)], "k string, op string, v string"))
+    assert [tuple(r) for r in tree.root(nodes).collect()] == con.sql(ORACLES["tree_root"]).fetchall() and tree.root(nodes).first().level == level
+    with pytest.raises(ValueError, match="bits"):
+        tree.build(items(spark, {k: "x"}), bits=0)
+
+
 def test_blocks_in_ranges_equal_one_pass(spark):
     rows = items(spark, {f"{i:06d}": str(i) for i in range(500)}).withColumn("e", tree.ends_block(F.col("k"), F.col("v")))
     one, many = (tree.block_ids(rows, "k", "e", partitions=p).orderBy("k").collect() for p in (None, 7))
