@@ -58,7 +58,7 @@ def _decoded(cut: DataFrame) -> DataFrame:
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay once or go, by rates within 0 and 1 at which the kept tokens' shares meet the weights."""
+    """Documents stay once or go, by rates that op8's descent, projected to 0..1, fits to the weights as shares of the kept tokens."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = mixing.train(docs, mixing.label_domains(labels))
     keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))

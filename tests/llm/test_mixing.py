@@ -109,6 +109,37 @@ def test_hard_zero_and_infeasible_targets(spark, weights, met):
     assert (rates >= 0).all() and np.allclose((rates * t) @ p, found.expected)
 
 
+@pytest.mark.parametrize("weights", [(0.88, 0.05, 0.06, 0.01), (0.5, 0.2, 0.2, 0.1), (0.7, 0.06, 0.22, 0.02)])
+def test_selection_is_the_descent_within_a_box(spark, weights):
+    """Every step is one of the descent's, replayed by plain loops; rates stay within 0 and 1 and no round misses by more."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([4.0, 0.5, 0.8, 0.2], 400)
+    t = rng.integers(1, 300, 400)
+    soft = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p))], mixing.POSTERIORS).coalesce(2).cache()
+    names, shares = ["a", "b", "c", "d"], np.array(weights) / sum(weights)
+    found = mixing.select(soft, names, dict(zip(names, weights)))
+    q, total = p - shares, t.sum()
+    moments = lambda x: (q * (t * x)[:, None]).T @ q / total
+    small = 1e-6 * np.trace(moments(1.0)) * np.eye(4)
+    w = np.linalg.inv(moments(1.0) + small)
+    r, free, before = np.ones(400), np.ones(400), np.inf
+    assert len(found.steps)
+    for s in found.steps:
+        miss = (r * t) @ q / total
+        cost = float(miss @ w @ miss) / (r @ t) ** 2
+        assert cost < before
+        gradient, scaled = w @ miss, np.linalg.solve(moments(free) + small, miss)
+        tried = [a * gradient for a in mixing.TIMES] + [a * scaled for a in mixing.TRIED]
+        assert any(np.allclose(q @ x, p @ s, rtol=1e-6, atol=1e-9) for x in tried)
+        r = np.array([min(1.0, max(0.0, x - float(y @ s))) for x, y in zip(r, p)])
+        free, before = ((r > 0) & (r < 1)).astype(float), cost
+    kept = (r * t) @ p
+    assert np.allclose([x.rate for x in mixing.rates(soft, found).orderBy("doc_id").collect()], r) and np.allclose(kept, found.expected)
+    assert np.abs(kept / kept.sum() - shares).max() <= 1e-4 and found.miss <= 1e-4
+    # One domain alone has no share to miss.
+    assert not len(mixing.select(soft.withColumn("posteriors", F.array(F.lit(1.0))), ["a"], {"a": 1.0}).steps)
+
+
 def test_a_classifier_by_plain_loops(spark):
     """Posteriors of a model are the softmax of bias and summed weights, word by word."""
     rng = np.random.default_rng(3)
